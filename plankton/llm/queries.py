@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import mixing, sharding
+from . import imatch, mixing, neardup, sharding
 
-QUERIES = {"op9_mixing": mixing.op9_mixing, "op10_sharding": sharding.op10_sharding}
-ORACLES = {"op9_mixing": mixing.OP9_SQL}
+QUERIES = {"op2_imatch": imatch.op2_imatch, "op6_minhash": neardup.op6_minhash, "op9_mixing": mixing.op9_mixing, "op10_sharding": sharding.op10_sharding}
+ORACLES = {"op6_minhash": neardup.OP6_SQL, "op9_mixing": mixing.OP9_SQL}
