@@ -1,6 +1,29 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import imatch, mixing, neardup, sharding
+from __future__ import annotations
 
-QUERIES = {"op2_imatch": imatch.op2_imatch, "op6_minhash": neardup.op6_minhash, "op9_mixing": mixing.op9_mixing, "op10_sharding": sharding.op10_sharding}
-ORACLES = {"op6_minhash": neardup.OP6_SQL, "op9_mixing": mixing.OP9_SQL}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import chat, decontam, dsir, imatch, langid, lmscore, mixing, neardup, sharding, warc
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_langid": langid.op1_langid,
+    "op2_imatch": imatch.op2_imatch,
+    "op3_decontamination": decontam.op3_decontamination,
+    "op4_warc": warc.op4_warc,
+    "op5_lm_score": lmscore.op5_lm_score,
+    "op6_minhash": neardup.op6_minhash,
+    "op7_chat": chat.op7_chat,
+    "op8_importance": dsir.op8_importance,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_sharding": sharding.op10_sharding,
+    "pipeline": pipeline,
+}
+ORACLES = {"op3_decontamination": decontam.OP3_SQL, "op4_warc": warc.OP4_SQL, "op6_minhash": neardup.OP6_SQL, "op9_mixing": mixing.OP9_SQL}
