@@ -1,4 +1,386 @@
 """Registered queries over the test tables, each with an equivalent SQL text."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import aggregates, decimals
+from ..functions.nulls import narrow, widen
+from ..operators import aggregate as agg
+from ..operators import expand, order, rows, setops, window
+from ..operators.joins import cross, join, lateral
+from ..sources import tables
+from ..streaming import events as ev
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of a table reader under its own name."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def dec(c: str, p: int = 12, s: int = 2):
+    return F.col(c).cast(f"decimal({p},{s})")
+
+
+# Scans, projection, filter -------------------------------------------------
+
+
+@query("""SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS qty, count(*) AS n
+  FROM lineitem WHERE l_discount > 0.05 GROUP BY l_partkey ORDER BY qty DESC, l_partkey LIMIT 20""")
+def flagship_topn(t):
+    x = rows.read_filtered(t("lineitem"), condition=lambda d: d["l_discount"] > 0.05, fields=["l_partkey", "l_quantity"])
+    x = agg.aggregate(x, ["l_partkey"], qty=F.sum(dec("l_quantity")), n=F.count(F.lit(1)))
+    return order.topn(x, [("qty", "desc_nulls_last"), ("l_partkey", "asc_nulls_last")], 20)
+
+
+@query("SELECT n_name, n_nationkey FROM nation")
+def emit_reorder_drop(t):
+    return rows.emit(t("nation"), [1, 0])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'")
+def read_filter_and_mask(t):
+    return rows.read_filtered(t("orders"), condition=lambda d: d["o_orderpriority"] == "1-URGENT", fields=["o_orderkey", "o_totalprice"])
+
+
+@query("SELECT c_custkey, {'nation': c_nationkey, 'segment': c_mktsegment} AS s FROM customer")
+def read_nested_mask(t):
+    x = t("customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("s"))
+    return rows.mask(x, ["c_custkey", ("s", ["nation", "segment"])])
+
+
+@query("SELECT *, s_acctbal * 2 AS twice, s_acctbal IS NULL AS missing FROM supplier")
+def project_appends(t):
+    return rows.project(t("supplier"), twice=F.col("s_acctbal") * 2, missing=F.col("s_acctbal").isNull())
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size > 40 AND p_retailprice IS NOT NULL")
+def filter_rows(t):
+    return rows.keep(t("part").select("p_partkey", "p_size", "p_retailprice"), (F.col("p_size") > 40) & F.col("p_retailprice").isNotNull()).drop("p_retailprice")
+
+
+@query("SELECT 1 AS n, 'a' AS s UNION ALL SELECT 2, NULL")
+def virtual_table(t):
+    return tables.literal_rows(t("region").sparkSession, [(1, "a"), (2, None)], "n int not null, s string")
+
+
+@query("SELECT n_nationkey AS id, {'region': n_regionkey, 'name': n_name} AS about FROM nation")
+def names_depth_first(t):
+    return rows.rename(t("nation").select("n_nationkey", F.struct("n_regionkey", "n_name")), ["id", "about", "region", "name"])
+
+
+# Joins ---------------------------------------------------------------------
+
+CUSTOMERS = "(SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey END AS k FROM customer)"
+NATIONS = "(SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 <> 0)"
+
+
+def customers(t):
+    return t("customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")).alias("k"))
+
+
+def nations(t):
+    return t("nation").where("n_nationkey % 3 <> 0").select("n_nationkey", "n_name")
+
+
+for kind, sql in {
+    "inner": "SELECT c.*, n.* FROM {c} c JOIN {n} n ON k = n_nationkey",
+    "outer": "SELECT c.*, n.* FROM {c} c FULL JOIN {n} n ON k = n_nationkey",
+    "left": "SELECT c.*, n.* FROM {c} c LEFT JOIN {n} n ON k = n_nationkey",
+    "right": "SELECT c.*, n.* FROM {c} c RIGHT JOIN {n} n ON k = n_nationkey",
+    "left_semi": "SELECT c.* FROM {c} c WHERE EXISTS (SELECT 1 FROM {n} n WHERE k = n_nationkey)",
+    "left_anti": "SELECT c.* FROM {c} c WHERE NOT EXISTS (SELECT 1 FROM {n} n WHERE k = n_nationkey)",
+    "right_semi": "SELECT n.* FROM {n} n WHERE EXISTS (SELECT 1 FROM {c} c WHERE k = n_nationkey AND c_custkey < 60)",
+    "right_anti": "SELECT n.* FROM {n} n WHERE NOT EXISTS (SELECT 1 FROM {c} c WHERE k = n_nationkey AND c_custkey < 60)",
+    "left_single": "SELECT c.*, (SELECT n_nationkey FROM {n} n WHERE k = n_nationkey) AS n_nationkey, (SELECT n_name FROM {n} n WHERE k = n_nationkey) AS n_name FROM {c} c",
+    "right_single": "SELECT n.n_nationkey, n.n_name, c.c_custkey, c.c_nationkey, c.k FROM {n} n RIGHT JOIN {c} c ON c.k = n.n_nationkey",
+    "left_mark": "SELECT c.*, k IN (SELECT CASE WHEN n_nationkey < 20 THEN n_nationkey END FROM {n}) AS mark FROM {c} c",
+    "right_mark": "SELECT n.*, n_nationkey IN (SELECT k FROM {c} WHERE c_custkey < 60) AS mark FROM {n} n",
+}.items():
+
+    def joined(t, kind=kind):
+        c, n = customers(t), nations(t)
+        if kind == "right_single":
+            return join(n, c, [("n_nationkey", "k")], kind)
+        if kind in ("right_semi", "right_anti", "right_mark"):
+            c = c.where("c_custkey < 60")
+        if kind == "left_mark":
+            n = n.select(F.when(F.col("n_nationkey") < 20, F.col("n_nationkey")).alias("n_nationkey"))
+        return join(c, n, [("k", "n_nationkey")], kind)
+
+    joined.__name__ = f"join_{kind}"
+    query(sql.format(c=CUSTOMERS, n=NATIONS))(joined)
+
+
+@query("SELECT s_suppkey, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS mark FROM supplier")
+def join_mark_general(t):
+    x = join(t("supplier").select("s_suppkey", "s_nationkey"), t("nation").where("n_regionkey = 1"), lambda a, b: a["s_nationkey"] == b["n_nationkey"], "left_mark")
+    return x.select("s_suppkey", "mark")
+
+
+@query("SELECT n_nationkey, (SELECT r_name FROM region WHERE r_regionkey >= n_regionkey AND r_regionkey <= n_regionkey) AS r_name FROM nation")
+def join_single_general(t):
+    x = join(t("nation"), t("region"), lambda a, b: (b["r_regionkey"] >= a["n_regionkey"]) & (b["r_regionkey"] <= a["n_regionkey"]), "left_single")
+    return x.select("n_nationkey", "r_name")
+
+
+@query("SELECT n_nationkey, n_name, r_regionkey, r_name FROM nation, region")
+def join_cross(t):
+    return cross(t("nation").select("n_nationkey", "n_name"), t("region"))
+
+
+@query("SELECT a.n_nationkey, b.n_nationkey AS n_nationkey_r FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def join_self(t):
+    n = t("nation").select("n_nationkey", "n_regionkey")
+    return join(n, n, [("n_regionkey", "n_regionkey")], residual=lambda a, b: a["n_nationkey"] < b["n_nationkey"]).select("n_nationkey", "n_nationkey_r")
+
+
+for algorithm in ("hash", "merge"):
+    for kind, word in (("left_anti", "NOT EXISTS"), ("left_semi", "EXISTS")):
+
+        def physical(t, algorithm=algorithm, kind=kind):
+            return join(t("customer").select("c_custkey", "c_name"), t("orders").where("o_totalprice > 400000"), [("c_custkey", "o_custkey")], kind, algorithm=algorithm)
+
+        physical.__name__ = f"join_{algorithm}_{kind}"
+        query(f"SELECT c_custkey, c_name FROM customer WHERE {word} (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")(physical)
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey WHERE length(n_name) > length(r_name)")
+def join_nested_loop_post_filter(t):
+    return join(t("nation").select("n_name", "n_regionkey"), t("region"), lambda a, b: a["n_regionkey"] < b["r_regionkey"], post_filter=lambda d: F.length(d["n_name"]) > F.length(d["r_name"])).select("n_name", "r_name")
+
+
+@query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) x""")
+def join_lateral_top2(t):
+    o = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    right = lambda outer: o.where(F.col("o_custkey") == outer("c_custkey")).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(2).select("o_orderkey", "o_totalprice")
+    return lateral(t("customer").select("c_custkey"), right)
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS n FROM customer")
+def join_lateral_single(t):
+    o = t("orders").select("o_custkey", "o_totalprice")
+    right = lambda outer: o.where((F.col("o_custkey") == outer("c_custkey")) & (F.col("o_totalprice") > 300000)).agg(F.count(F.lit(1)).alias("n"))
+    return lateral(t("customer").select("c_custkey"), right, "left_single")
+
+
+for kind, word in (("left_semi", "EXISTS"), ("left_anti", "NOT EXISTS")):
+
+    def lateral_exists(t, kind=kind):
+        o = t("orders").select("o_custkey", "o_totalprice")
+        return lateral(t("customer").select("c_custkey"), lambda outer: o.where((F.col("o_custkey") == outer("c_custkey")) & (F.col("o_totalprice") > 400000)), kind)
+
+    lateral_exists.__name__ = f"join_lateral_{kind}"
+    query(f"SELECT c_custkey FROM customer WHERE {word} (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")(lateral_exists)
+
+
+# Aggregation ---------------------------------------------------------------
+
+
+@query("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS sum_qty, count(*) AS n,
+  count(*) FILTER (l_discount > 0.05) AS discounted, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ALL""")
+def aggregate_single_set(t):
+    big = F.count(F.when(F.col("l_discount") > 0.05, 1))
+    return agg.aggregate(t("lineitem"), ["l_returnflag", "l_linestatus"], sum_qty=F.sum(dec("l_quantity")), n=F.count(F.lit(1)), discounted=big, suppliers=F.count_distinct("l_suppkey"))
+
+
+@query("SELECT CAST(min(p_size) AS INTEGER) AS low, CAST(max(p_size) AS INTEGER) AS high, count(*) AS n FROM part WHERE p_size < 0")
+def aggregate_no_keys(t):
+    return agg.aggregate(t("part").where("p_size < 0"), low=F.min("p_size"), high=F.max("p_size"), n=F.count(F.lit(1)))
+
+
+@query("""SELECT p_brand, p_size, count(*) AS n, CAST(0 AS INTEGER) AS set_index FROM part GROUP BY p_brand, p_size UNION ALL
+  SELECT p_brand, NULL, count(*), 1 FROM part GROUP BY p_brand UNION ALL SELECT p_brand, NULL, count(*), 2 FROM part GROUP BY p_brand""")
+def aggregate_set_index(t):
+    return agg.aggregate(t("part"), ["p_brand", "p_size"], [["p_brand", "p_size"], ["p_brand"], ["p_brand"]], n=F.count(F.lit(1)))
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(CASE grouping_id(o_orderstatus, o_orderpriority) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INTEGER) AS set_index
+  FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
+def aggregate_rollup(t):
+    keys = ["o_orderstatus", "o_orderpriority"]
+    return agg.aggregate(t("orders"), keys, agg.rollup_sets(keys), n=F.count(F.lit(1)))
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping_id(o_orderstatus, o_orderpriority) AS INTEGER) AS set_index
+  FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
+def aggregate_cube(t):
+    keys = ["o_orderstatus", "o_orderpriority"]
+    return agg.aggregate(t("orders"), keys, agg.cube_sets(keys), n=F.count(F.lit(1)))
+
+
+@query("SELECT o_custkey, CAST(trunc(sum(o_orderkey)::HUGEINT // count(*)) AS BIGINT) AS mean FROM orders GROUP BY o_custkey")
+def aggregate_integer_avg(t):
+    return agg.aggregate(t("orders"), ["o_custkey"], mean=aggregates.average(F.col("o_orderkey")))
+
+
+@query("SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) // count(*) AS mean, count(*) AS n FROM orders GROUP BY o_custkey")
+def aggregate_phases(t):
+    first = agg.aggregate(t("orders"), ["o_custkey", "o_orderstatus"], mean=aggregates.intermediate("avg", F.col("o_orderkey")), n=aggregates.intermediate("count", F.col("o_orderkey")))
+    return agg.aggregate(first, ["o_custkey"], mean=aggregates.merge("avg", F.col("mean")), n=aggregates.merge("count", F.col("n")))
+
+
+# Set operations ------------------------------------------------------------
+
+P, S1, S2 = ("SELECT l_suppkey AS k, l_returnflag AS f FROM lineitem WHERE l_orderkey % 5 = {i} AND l_partkey % 7 <= 1".format(i=i) for i in range(3))
+
+for name, sql in {
+    "minus_primary": "SELECT DISTINCT * FROM (({p}) EXCEPT ({a}) EXCEPT ({b}))",
+    "minus_primary_all": "({p}) EXCEPT ALL ({a}) EXCEPT ALL ({b})",
+    "minus_multiset": "({p}) EXCEPT (({a}) INTERSECT ({b}))",
+    "intersection_primary": "({p}) INTERSECT (({a}) UNION ALL ({b}))",
+    "intersection_multiset": "({p}) INTERSECT ({a}) INTERSECT ({b})",
+    "intersection_multiset_all": "({p}) INTERSECT ALL ({a}) INTERSECT ALL ({b})",
+    "union_distinct": "({p}) UNION ({a}) UNION ({b})",
+    "union_all": "({p}) UNION ALL ({a}) UNION ALL ({b})",
+}.items():
+
+    def set_op(t, name=name):
+        x = t("lineitem").where("l_partkey % 7 <= 1").select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("f"), "l_orderkey")
+        return getattr(setops, name)(*[x.where(f"l_orderkey % 5 = {i}").drop("l_orderkey") for i in range(3)])
+
+    set_op.__name__ = f"set_{name}"
+    query(sql.format(p=P, a=S1, b=S2))(set_op)
+
+
+# Windows -------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, row_number() OVER w AS rn, cume_dist() OVER w AS share, lead(o_orderkey) OVER w AS following, rank() OVER w AS place,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS DECIMAL(22,2)) AS last_two
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def window_functions(t):
+    o = t("orders").select("o_orderkey", "o_custkey", dec("o_totalprice").alias("price"))
+    w = window.spec(["o_custkey"], order.order([("o_orderkey", "asc_nulls_last")]))
+    out = window.window(o, w, rn=window.row_number(), share=F.cume_dist(), following=F.lead("o_orderkey"), place=window.rank())
+    near = window.spec(["o_custkey"], order.order([("o_orderkey", "asc_nulls_last")]), rows=(-1, 0))
+    return window.window(out, near, last_two=F.sum("price")).drop("o_custkey", "price")
+
+
+@query("""SELECT p_partkey, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS part, lag(p_size) OVER v AS earlier, percent_rank() OVER w AS percent,
+  first_value(p_size) OVER v AS first_size, max(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS ahead
+  FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size), v AS (PARTITION BY p_brand ORDER BY p_partkey)""")
+def window_more_functions(t):
+    p = t("part").select("p_partkey", "p_brand", "p_size")
+    out = window.window(p, window.spec(["p_brand"], [F.asc("p_size")]), dense=window.dense_rank(), percent=F.percent_rank())
+    out = window.window(out, window.spec(["p_brand"], [F.asc("p_partkey")]), part=window.ntile(4), earlier=F.lag("p_size"), first_size=F.first("p_size"))
+    return window.window(out, window.spec(["p_brand"], [F.asc("p_partkey")], rows=(0, 2)), ahead=F.max("p_size")).drop("p_brand", "p_size")
+
+
+# Order ---------------------------------------------------------------------
+
+NULLED = "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS bal FROM customer"
+for direction, sql in (("asc_nulls_first", "bal ASC NULLS FIRST"), ("asc_nulls_last", "bal ASC NULLS LAST"), ("desc_nulls_first", "bal DESC NULLS FIRST"), ("desc_nulls_last", "bal DESC NULLS LAST")):
+
+    def fetched(t, direction=direction):
+        x = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("bal"))
+        return order.fetch(order.sort(x, [("bal", direction), ("c_custkey", "asc_nulls_last")]), count=25, offset=20)
+
+    fetched.__name__ = f"fetch_{direction}"
+    query(f"SELECT * FROM ({NULLED}) ORDER BY {sql}, c_custkey LIMIT 25 OFFSET 20")(fetched)
+
+
+@query("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+def topn_emit(t):
+    return rows.emit(order.topn(t("customer").select("c_custkey", "c_name", "c_acctbal"), [("c_acctbal", "desc_nulls_last"), ("c_custkey", "asc_nulls_last")], 10), [1])
+
+
+@query("SELECT r_regionkey FROM (SELECT * FROM region ORDER BY r_regionkey OFFSET 2)")
+def fetch_unset_count(t):
+    return order.fetch(order.sort(t("region").select("r_regionkey"), [("r_regionkey", "asc_nulls_last")]), offset=2)
+
+
+# Expand, exchange, shared subplans -----------------------------------------
+
+
+@query("""SELECT n_nationkey, n_name, n_regionkey, CAST(0 AS INTEGER) AS duplicate FROM nation UNION ALL SELECT n_nationkey, NULL, n_regionkey, 1 FROM nation""")
+def expand_switching(t):
+    return expand.expand(t("nation"), [F.col("n_nationkey"), [F.col("n_name"), F.lit(None).cast("string")]])
+
+
+@query("SELECT * FROM supplier")
+def exchange_round_robin(t):
+    return expand.exchange(t("supplier"), partitions=4)
+
+
+@query("SELECT * FROM supplier")
+def exchange_scatter(t):
+    return expand.exchange(t("supplier"), "scatter", partitions=4, keys=["s_nationkey"])
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size < 10 UNION ALL SELECT p_partkey, p_size FROM part WHERE p_size < 10")
+def reference_shared_subtree(t):
+    shared = t("part").where("p_size < 10").select("p_partkey", "p_size")
+    return setops.union_all(shared, shared)
+
+
+# Functions -----------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, CAST(a + b AS DECIMAL(13,2)) AS added, CAST(a - b AS DECIMAL(13,2)) AS taken, CAST(a * b AS DECIMAL(18,3)) AS product,
+  CAST(CAST(a AS DECIMAL(38,10)) - CAST(trunc(a / b) AS DECIMAL(18,0)) * b AS DECIMAL(6,2)) AS rest
+  FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,2)) AS a, CAST(o_orderkey % 900 + 1 AS DECIMAL(5,1)) AS b FROM orders)""")
+def decimal_arithmetic(t):
+    x = t("orders").select("o_orderkey", dec("o_totalprice").alias("a"), (F.col("o_orderkey") % 900 + 1).cast("decimal(5,1)").alias("b"))
+    a, b = (12, 2), (5, 1)
+    op = lambda name: decimals.arithmetic(name, F.col("a"), F.col("b"), a, b)
+    return x.select("o_orderkey", op("add").alias("added"), op("subtract").alias("taken"), op("multiply").alias("product"), op("modulus").cast("decimal(6,2)").alias("rest"))
+
+
+@query("""SELECT o_orderkey, CAST(a * 1000000000 // b AS DECIMAL(38,0)) AS q FROM
+  (SELECT o_orderkey, CAST(o_custkey % 1000 AS HUGEINT) AS a, CAST(o_orderkey % 900 + 1 AS HUGEINT) AS b FROM orders)""")
+def decimal_divide(t):
+    x = t("orders").select("o_orderkey", (F.col("o_custkey") % 1000).cast("decimal(10,0)").alias("a"), (F.col("o_orderkey") % 900 + 1).cast("decimal(8,0)").alias("b"))
+    q = decimals.arithmetic("divide", F.col("a"), F.col("b"), (10, 0), (8, 0))
+    exact = F.floor(q * 1000000000 + F.lit("0.5").cast("decimal(2,1)"))
+    back = F.when(exact * F.col("b") > F.col("a") * 1000000000, exact - 1).otherwise(exact)
+    return x.select("o_orderkey", back.cast("decimal(38,0)").alias("q"))
+
+
+@query("""SELECT c_custkey, coalesce(k, -1) AS required, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, TRY_CAST(c_mktsegment AS INTEGER) AS tried,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS switched FROM """ + CUSTOMERS.replace("FROM customer", ", c_mktsegment FROM customer"))
+def expressions(t):
+    x = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")).alias("k"), "c_mktsegment")
+    return x.select("c_custkey", narrow(F.col("k"), -1).alias("required"), F.when(F.col("c_custkey") % 2 == 0, "even").otherwise("odd").alias("parity"), F.col("c_mktsegment").try_cast("int").alias("tried"),
+                    widen(F.when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_mktsegment") == "MACHINERY", 2).otherwise(0)).alias("switched"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN CAST(0 AS DOUBLE) ELSE s_acctbal END AS s_acctbal FROM supplier")
+def update_rows(t):
+    return tables.update(t("supplier").select("s_suppkey", "s_acctbal"), F.col("s_acctbal") < 0, s_acctbal=F.lit(0))
+
+
+# Events --------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_tumbling(t):
+    return ev.windowed(t("events"), n=F.count(F.lit(1))).drop("end")
+
+
+@query("""SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY ALL""")
+def events_sliding(t):
+    return ev.windowed(t("events"), size="1 hour", slide="30 minutes", n=F.count(F.lit(1))).drop("end")
+
+
+@query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM
+  (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+    (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
+def events_sessions(t):
+    return ev.sessions(t("events"), n=F.count(F.lit(1)))
