@@ -5,7 +5,9 @@ lies in a band, and for each of several random subsets of that lexicon the
 sorted terms that fall in the subset are hashed.  Two texts agree in a subset
 if they hold the same lexicon terms there.
 
-A subset of level L keeps each term with probability 4**-L.  A document with T
+A subset of level L keeps each term with probability 4**-L: from level 2 on the
+level deals the lexicon at random into 4**L cells and the first 16 are its
+subsets; on levels 0 and 1 the 16 subsets are drawn apart.  A document with T
 terms in the band uses 16 subsets of level floor(log4 T), where about 1 to 4 of
 its terms are left, and 16 of the next level; so long texts are compared on
 sparse subsets and short ones on dense ones, and texts whose sizes differ
@@ -61,13 +63,17 @@ def with_fingerprint(df: DataFrame, text: Column, terms: list[int], name: str) -
     df = df.withColumn("_k", F.expr(within)).withColumn("_k", F.array_sort(F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.col("_t"))))
     df = df.withColumn("_l", F.expr(f"size(filter(array({','.join(str(4**i) for i in range(1, LEVELS + 1))}), x -> x <= size(_k)))"))
 
-    def part(s: Column) -> Column:
-        level = F.col("_l") + F.floor(s / SUBSETS).cast("int")
-        subset = level * SUBSETS + F.pmod(s, F.lit(SUBSETS))
-        held = F.filter(F.col("_k"), lambda h: F.pmod(F.xxhash64(h, subset), F.pow(F.lit(4.0), level).cast("long")) == 0)
-        return F.when(F.size(held) > 0, F.shiftrightunsigned(F.xxhash64(held), 48))
-
-    df = df.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(2 * SUBSETS - 1)), part))
+    def parts(level: Column) -> Column:
+        cells = F.pow(F.lit(4.0), level).cast("long")
+        cell = lambda h: F.pmod(F.xxhash64(h, level), cells)
+        # A term's id with the cell in its lowest bits, so that a subset's terms are found by one comparison.
+        low = F.transform(F.filter("_k", lambda h: cell(h) < SUBSETS), lambda h: h.bitwiseAND(F.lit(-SUBSETS)).bitwiseOR(cell(h)))
+        dealt = lambda x: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.filter(x, lambda e: e.bitwiseAND(F.lit(SUBSETS - 1)) == s))
+        apart = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.filter("_k", lambda h: F.pmod(F.call_function("shiftright", F.xxhash64(h, level), s * 2), cells) == 0))
+        held = F.when(level >= 2, dealt(low)).otherwise(apart)
+        return F.transform(held, lambda x: F.when(F.size(x) > 0, F.shiftrightunsigned(F.xxhash64(x), 48)))
+
+    df = df.withColumn("_p", F.concat(parts(F.col("_l")), parts(F.col("_l") + 1)))
     shown = F.transform("_p", lambda p: F.coalesce(F.lpad(F.lower(F.hex(p)), 4, "0"), F.lit("----")))
     text_form = F.concat(F.col("_l").cast("string"), F.lit(":"), F.array_join(shown, ""))
     return df.withColumn(name, F.struct(F.col("_l").alias("level"), F.col("_p").alias("parts"), text_form.alias("text"))).drop("_t", "_k", "_l", "_p")
