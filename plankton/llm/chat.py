@@ -59,6 +59,8 @@ def intersect(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     first = np.searchsorted(ends, spans[:, 0], "right")
     last = np.searchsorted(starts, spans[:, 1], "left")
     for (lo, hi), i, j in zip(spans, first, last, strict=True):
+        if lo == hi:
+            continue
         mask[i:j] = True
         done = lo
         for s, e in zip(starts[i:j], ends[i:j], strict=True):
