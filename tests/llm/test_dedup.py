@@ -1,0 +1,259 @@
+"""Shingles, signatures, near duplicates, decontamination and I-Match against plain Python."""
+
+import hashlib
+import os
+import random
+import sys
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(__file__))
+import brute  # noqa: E402
+from helpers import compare, database  # noqa: E402
+
+from plankton.llm import components, decontam, imatch, neardup, textnum  # noqa: E402
+from plankton.llm.common import Scratch  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+ODD = [None, "", " \t\n", "one", "ONE two", "a b c d", "Ünï cöde wörds hier ßo", "x" * 300_000, "very " * 40_000]
+DOCS = "doc_id long, text string, id string, lang string, source string, sig int"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]) + str(rng.randrange(40)) for _ in range(n))
+
+
+def corpus(n=60, seed=5):
+    """Groups of near copies, exact copies, chains of small edits and odd rows."""
+    rng = random.Random(seed)
+    out = list(ODD)
+    for _ in range(n // 6):
+        base = prose(rng, rng.randrange(20, 90)).split()
+        out.append(" ".join(base))
+        for _ in range(5):
+            base = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                base[rng.randrange(len(base))] = prose(rng, 1)
+            out.append(" ".join(base))
+    rng.shuffle(out)
+    return list(enumerate(out, start=3))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "x", "en", "s", 1) for i, t in rows], DOCS)
+
+
+def test_word_and_shingle_sets_are_those_of_plain_python():
+    for text in ODD + [t for _, t in corpus()]:
+        w = brute.words(text)
+        h = textnum.word_hashes(text)
+        assert len(h) == len(w) and len(set(h.tolist())) == len(set(w))
+        for n in (3, 5):
+            assert len(textnum.shingle_set(text, n)) == len(brute.shingles(text, n))
+    assert textnum.word_hashes("Ab C").tolist() == textnum.word_hashes("aB\n\tc").tolist()
+    assert textnum.word_hashes("ab")[0] != textnum.word_hashes("ba")[0]
+
+
+def stepwise(elements, k):
+    """SuperMinHash one element at a time with its own permutation."""
+    out = [0xFFFFFFFF] * k
+    for e in elements.tolist():
+        p = list(range(k))
+        for j in range(k):
+            x = int(textnum.mix(np.array([(e + (j + 1) * textnum.GOLDEN) % 2**64], np.uint64))[0])
+            t = j + ((x & 0xFFFFFFFF) * (k - j) >> 32)
+            p[j], p[t] = p[t], p[j]
+            out[p[j]] = min(out[p[j]], x >> (64 - textnum.STEP_BITS) | j << textnum.STEP_BITS)
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 40, 300])
+def test_superminhash_stops_early_without_a_difference(n):
+    elements = np.unique(textnum.constants(n, 77))
+    assert textnum.superminhash(elements, 24).tolist() == stepwise(elements, 24)
+
+
+def test_superminhash_estimates_similarity():
+    a = textnum.constants(900, 9)
+    got = [(textnum.superminhash(a[: 300 + i], 96) == textnum.superminhash(a[100 : 400 + i], 96)).mean() for i in range(60)]
+    assert abs(np.mean(got) - 0.53) < 0.03
+
+
+@pytest.mark.parametrize("words,threshold", [(3, (85, 100)), (5, (80, 100))])
+def test_near_duplicates(spark, words, threshold):
+    rows = corpus()
+    got = neardup.near_duplicates(frame(spark, rows), words=words, threshold=threshold).collect()
+    want = brute.components(rows, words, *threshold)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    text = dict(rows)
+    assert all(r["n_shingles"] == len(brute.shingles(text[r["doc_id"]], words)) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    assert len(got) == len(rows)
+
+
+def test_large_buckets_meet_in_blocks(spark, monkeypatch):
+    """A group in which few links go to the smallest id: what the star misses, the blocks must find."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(1)
+    base = prose(rng, 80).split()
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randrange(3, 9)):
+            t[rng.randrange(len(t))] = prose(rng, 1)
+        rows.append((i, " ".join(t)))
+    got = neardup.near_duplicates(frame(spark, rows), words=3, threshold=(70, 100)).collect()
+    want = brute.components(rows, 3, 70, 100)
+    assert 1 < len(set(want.values())) < 60
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    assert neardup.near_duplicates(frame(spark, [])).count() == 0
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "p q r s t u"), (9, "p q r s t u"), (9, "p q r s t u"), (7, "k l"), (8, None)]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(None, None, True)] * 2 + [(4, 4, True)] * 2 + [(9, 4, False)] * 2 + [(7, 7, True), (8, 8, True)], key=repr)
+    kept = neardup.drop_near_duplicates(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "id", "lang", "source", "sig"] and kept.count() == 6
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 420)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        p, q = sorted((root(a), root(b)))
+        up[q] = p
+    assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
+
+
+def test_near_duplicates_equal_sql(spark):
+    assert compare(neardup.op6_minhash(spark, SF), database(SF), neardup.OP6_SQL) == 200
+
+
+def test_contaminated(spark):
+    rng = random.Random(2)
+    items = [(i, prose(rng, rng.randrange(8, 130))) for i in range(12)] + [(50, "two words"), (51, None), (52, "")]
+    rows = corpus(30)
+    for k, (i, t) in enumerate(items[:12]):
+        w = t.split()
+        cut = w if k % 3 == 0 else w[: int(len(w) * (0.9 if k % 3 == 1 else 0.6))]
+        rows.append((1000 + i, prose(rng, rng.randrange(0, 3000)) + " " + " ".join(cut).upper() + "\n" + prose(rng, 50)))
+    half = items[3][1].split()
+    rows.append((2000, " ".join(half[: len(half) // 2]) + " " + prose(rng, 500) + " " + " ".join(half[len(half) // 2 :])))
+    rows.append((2001, "TWO words"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.contaminated(frame(spark, rows), bench).collect())
+    want = brute.contaminated(rows, items)
+    assert got == want and len(got) > 8
+    clean = decontam.decontaminate(frame(spark, rows), bench)
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted({i for i, _ in rows} - {x[0] for x in want})
+    assert clean.columns == ["doc_id", "text", "id", "lang", "source", "sig"]
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 400)
+    rng = random.Random(4)
+    items = [(i, prose(rng, 20)) for i in range(9)]
+    rows = [(i, prose(rng, 30) + " " + items[i][1]) for i in range(9)] + [(99, prose(rng, 60)), (None, items[0][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontam.indexes(bench, 5, 0.8, "item_id", "text"))) > 2
+    got = sorted([tuple(r)[:2] for r in decontam.contaminated(frame(spark, rows), bench).collect()], key=repr)
+    assert got == sorted([(i, i) for i in range(9)] + [(None, 0)], key=repr)
+    assert [r["doc_id"] for r in decontam.decontaminate(frame(spark, rows), bench).collect()] == [99]
+
+
+def test_contaminated_by_nothing(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.contaminated(frame(spark, corpus(6)), none).count() == 0
+    assert decontam.contaminated(frame(spark, []), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_contaminated_equals_sql(spark):
+    assert compare(decontam.op3_decontamination(spark, SF), database(SF), decontam.OP3_SQL) > 0
+
+
+def number(x, seed=42):
+    return xxhash.xxh64(x, seed=seed).intdigest()
+
+
+def terms(text):
+    import re
+
+    return {number(w.encode()) for w in re.findall(r"[^\W_]+", (text or "").lower())}
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def fingerprint(text, lexicon):
+    kept = sorted(signed(t) for t in (terms(text) & lexicon or terms(text)))
+    level = sum(4**i <= len(kept) for i in range(1, imatch.LEVELS + 1))
+    parts = []
+    for at in (level, level + 1):
+        cells = 4**at
+        seeded = {h: signed(xxhash.xxh32 and number(at.to_bytes(4, "little", signed=True), number(h.to_bytes(8, "little", signed=True)))) for h in kept}
+        for s in range(imatch.SUBSETS):
+            if at >= 2:
+                held = [(h & -16) | seeded[h] % cells for h in kept if seeded[h] % cells == s]
+            else:
+                held = [h for h in kept if (seeded[h] >> (2 * s)) % cells == 0]
+            x = 42
+            for h in held:
+                x = number(h.to_bytes(8, "little", signed=True), x)
+            parts.append(f"{x >> 48:04x}" if held else "----")
+    return f"{level}:{''.join(parts)}", level, parts
+
+
+def similar(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    if abs(a[1] - b[1]) > 1:
+        return 0.0
+    pairs = list(zip(*(f[2] if a[1] == b[1] else f[2][16:] if f[1] < max(a[1], b[1]) else f[2][:16] for f in (a, b)), strict=True))
+    either = [p == q for p, q in pairs if p != "----" or q != "----"]
+    return sum(either) / max(1, len(either))
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 70])
+def test_fingerprints(spark, size, monkeypatch):
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", 9)
+    rng = random.Random(size)
+    rows = [(3 * i - 20, prose(rng, rng.randrange(0, 120))) for i in range(size)]
+    if size > 9:
+        rows += [(1000 + i, t) for i, t in enumerate(ODD)] + [(2**60 + i, t) for i, (_, t) in enumerate(rows[:5])]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r for r in imatch.fingerprint_edits(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    rows = sorted((i, t or "") for i, t in rows)
+    df = {}
+    for _, t in rows:
+        for x in terms(t):
+            df[x] = df.get(x, 0) + 1
+    low, high = (len(rows) * np.exp(-b) for b in reversed(imatch.IDF_BAND))
+    lexicon = {x for x, n in df.items() if low <= n <= high}
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        n = len(t)
+        edited = t[: n - n // 4] + after[: n // 4]
+        r = got[i]
+        own, changed, follows = (fingerprint(x, lexicon) for x in (t, edited, after))
+        assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own[0], changed[0])
+        assert r["near_edited"] == pytest.approx(similar(own, changed)) and r["near_next"] == pytest.approx(similar(own, follows))
+
+
+def test_fingerprints_tell_edits_from_strangers(spark):
+    out = imatch.op2_imatch(spark, "/root/testdata/sf0.01")
+    r = out.agg(F.avg("near_edited"), F.avg("near_next"), F.avg((F.col("near_edited") > F.col("near_next")).cast("double"))).first()
+    assert r[0] > 0.3 and r[1] < 0.05 and r[2] > 0.95
