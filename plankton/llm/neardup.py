@@ -9,8 +9,10 @@
    the verified links are united into components.
 4. Buckets whose members now all lie in one component need no more.  In the
    others, members of different components are compared with each other by
-   signature, in blocks of at most BLOCK members so that no task holds a
-   large bucket, and the promising pairs are verified and united as well.
+   signature, in blocks of about BLOCK members so that no task holds a large
+   bucket.  Members with a promising pair meet again with their texts; pairs are
+   verified inside the task and only those that unite two components leave it,
+   so what is passed on is in proportion to the members, not to the pairs.
 
 So every two texts that share a bucket are either verified, estimated to be
 far from the threshold, or connected already: no link between different texts
@@ -36,8 +38,8 @@ from .textnum import band_keys, mix, shingle_set, superminhash
 BANDS, ROWS = 24, 4
 #: How far below the threshold a signature's estimate may lie.
 MARGIN = 0.22
-#: Members of a bucket that meet in one comparison.
-BLOCK = 256
+#: Members of a bucket's block, about; two blocks meet in one comparison.
+BLOCK = 2048
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
@@ -92,45 +94,112 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     return p.where(linked("text_a", "text_b")).select("a", "b").distinct()
 
 
+class Run:
+    """Members of one bucket that meet in one comparison, as arrays: two blocks of the bucket or one with itself."""
+
+    COLUMNS = ("run", "band", "block", "within", "id", "component", "sig")
+
+    def __init__(self, batch: pd.DataFrame, sigs: np.ndarray, at: slice):
+        self.band, self.within = int(batch["band"].iat[at.start]), bool(batch["within"].iat[at.start])
+        self.block, self.ids, self.components = (batch[c].to_numpy()[at] for c in ("block", "id", "component"))
+        self.sigs = sigs[at]
+
+    def pairs(self, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows i and, for each, later rows of another component and, if two blocks meet, another block, that agree in
+        `least` of their signatures and share no earlier bucket; so each pair of texts comes up in one bucket only."""
+        for i in range(len(self.ids) - 1):
+            other = self.components[i + 1 :] != self.components[i]
+            if not self.within:
+                other &= self.block[i + 1 :] != self.block[i]
+            if len(j := i + 1 + np.flatnonzero(other)):
+                same = self.sigs[j] == self.sigs[i]
+                first = same.reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                if len(j := j[(same.mean(axis=1) >= least) & (first == self.band)]):
+                    yield i, j
+
+
+def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, Run]]]]:
+    """Batches of rows sorted by run, cut between runs, with the runs of each (and where they start)."""
+
+    def cut(batch: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, list[tuple[int, Run]], pd.DataFrame | None]:
+        edges = np.flatnonzero(np.diff(batch["run"].to_numpy())) + 1
+        bounds = [0, *edges.tolist(), len(batch)]
+        if not last:
+            bounds.pop()
+        whole = batch.iloc[: bounds[-1]]
+        sigs = np.frombuffer(b"".join(whole["sig"]), np.uint32).reshape(len(whole), BANDS * ROWS)
+        found = [(s, Run(whole, sigs, slice(s, e))) for s, e in zip(bounds, bounds[1:], strict=False) if e - s > 1]
+        return whole, found, None if last else batch.iloc[bounds[-1] :]
+
+    held = None
+    for batch in batches:
+        if held is not None and len(held):
+            batch = pd.concat([held, batch], ignore_index=True)
+        if len(batch):
+            whole, found, held = cut(batch, False)
+            yield whole, found
+    if held is not None and len(held):
+        yield cut(held.reset_index(drop=True), True)[:2]
+
+
 def unsettled(members: DataFrame, least: float) -> DataFrame:
-    """members: bucket, id, component, sig of buckets with several components -> pairs (a, b) across components that may be near.
+    """members: bucket, band, id, component, sig of buckets with several components -> those of them that have a promising pair, by run.
 
     A bucket of m members is dealt into ceil(m / BLOCK) blocks and every two
-    blocks meet once, each time in one run of at most 2 * BLOCK rows.
+    blocks meet once, in one run of at most about 2 * BLOCK rows.  A row comes
+    out at most once for each run it is in, not once for each pair.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     m = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.withColumn("key", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).withColumn("within", F.col("block") == F.col("other"))
-    m = m.select("key", "block", "within", "id", "component", "sig")
-
-    def pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
-        comp, ids, block = rows["component"].to_numpy(), rows["id"].to_numpy(), rows["block"].to_numpy()
-        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
-        mine, theirs = [], []
-        for i in range(len(rows) - 1):
-            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((block[i + 1 :] != block[i]) | bool(rows["within"].iat[i])))
-            j = j[(sigs[j] == sigs[i]).mean(axis=1) >= least] if len(j) else j
-            mine.append(np.full(len(j), ids[i]))
-            theirs.append(ids[j])
-        x, y = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (mine, theirs))
-        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}, dtype="int64")
+    m = m.withColumn("run", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).withColumn("within", F.col("block") == F.col("other")).select(*Run.COLUMNS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the rows of the run that the last batch may have cut
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            key = batch["key"].to_numpy()
-            ends = np.flatnonzero(np.diff(key)) + 1
-            starts = [0, *ends]
-            out = [pairs_of(batch.iloc[s:e]) for s, e in zip(starts, ends, strict=False) if e - s > 1]
-            held = batch.iloc[starts[-1] :] if len(batch) else None
-            if out:
-                yield pd.concat(out)
-        if held is not None and len(held) > 1:
-            yield pairs_of(held)
+        for whole, found in runs(batches):
+            promising = np.zeros(len(whole), bool)
+            for start, r in found:
+                for i, j in r.pairs(least):
+                    promising[start + i] = promising[start + j] = True
+            yield whole[promising]
+
+    return m.repartition("run").sortWithinPartitions("run").mapInPandas(run, m.schema)
+
+
+def settled(rows: DataFrame, docs: DataFrame, words: int, num: int, den: int, least: float) -> DataFrame:
+    """Links (a, b) that unite components within the runs that unsettled() gives, verified on the full sets: at most one less than a run has rows."""
+    rows = rows.join(docs, "id").select(*Run.COLUMNS, "text")
+
+    def links_of(run: Run, texts: list[str]) -> list[tuple[int, int]]:
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+
+        def set_of(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingle_set(texts[x], words)
+            return sets[x]
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        out = []
+        for i, js in run.pairs(least):
+            for j in js.tolist():
+                p, q = root(int(run.components[i])), root(int(run.components[j]))
+                if p != q:
+                    both = len(np.intersect1d(set_of(i), set_of(j), assume_unique=True))
+                    if den * both >= num * (len(set_of(i)) + len(set_of(j)) - both):
+                        parent[max(p, q)] = min(p, q)
+                        out.append((max(run.ids[i], run.ids[j]), min(run.ids[i], run.ids[j])))
+        return out
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole, found in runs(batches):
+            texts = whole["text"].tolist()
+            yield pd.DataFrame([x for start, r in found for x in links_of(r, texts[start : start + len(r.ids)])], columns=["a", "b"], dtype="int64")
 
-    return m.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+    return rows.repartition("run").sortWithinPartitions("run").mapInPandas(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
     classes = scratch.keep(full.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     sigs = full.select("id", "sig")
     reps = full.select("id", "keys").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    buckets = scratch.keep(reps.select(F.posexplode("keys").alias("band", "key"), "id").select(F.xxhash64("band", "key").alias("bucket"), "id"), "buckets")
+    buckets = scratch.keep(reps.select(F.posexplode("keys").alias("band", "key"), "id").select(F.xxhash64("band", "key").alias("bucket"), F.col("band").cast("int").alias("band"), "id"), "buckets")
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most").select("bucket", "hub")
     shared = scratch.keep(buckets.join(hubs, "bucket"), "shared")
     pairs = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
@@ -164,11 +233,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
     def labelled(ids: DataFrame) -> DataFrame:
         return ids.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    placed = labelled(shared.select("bucket", "id"))
+    placed = labelled(shared.select("bucket", "band", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
     members = placed.join(mixed, "bucket", "left_semi").distinct().join(sigs, "id")
-    more = verified(unsettled(members, least), docs, words, num, den)
-    links = scratch.keep(links.union(more), "links")
+    open_rows = scratch.keep(unsettled(members, least), "unsettled")
+    links = scratch.keep(links.union(settled(open_rows, docs, words, num, den, least)).distinct(), "links")
     # Rows that share an id but not a text stay one node: their classes' representatives are linked.
     nodes = full.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "rep")
     own = nodes.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
