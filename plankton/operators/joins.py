@@ -9,7 +9,9 @@ joins declare exactly the sides nullable that may lack a partner.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,8 +126,8 @@ def _default(t) -> Column:
         return F.array().cast(t)
     if kind == "map":
         return F.create_map().cast(t)
-    text = {"string": "", "binary": "", "boolean": "false", "date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01"}.get(kind, "0")
-    return F.lit(text).cast(t)
+    plain = {"string": "", "binary": bytearray(), "boolean": False, "date": datetime.date(1970, 1, 1), "timestamp": datetime.datetime(1970, 1, 1), "timestamp_ntz": datetime.datetime(1970, 1, 1), "decimal": Decimal(0)}
+    return F.lit(plain.get(kind, 0)).cast(t)
 
 
 def _mark(a: Side, b: Side, condition: Column, keys: Keys | None, name: str) -> DataFrame:
@@ -160,19 +162,19 @@ def lateral(left: DataFrame, right: Callable[[Callable[[str], Column]], DataFram
     turns the correlation into a join where it can.
     """
     sub = right(lambda name: F.col(f"`{name}`").outer())
+    n = len(left.columns)
+    shown = lambda names: [c + "_r" * (c in left.columns) for c in names]
     if kind in ("inner", "left"):
-        a, b = len(left.columns), sub.columns
-        names = [*left.columns, *[c + "_r" * (c in left.columns) for c in b]]
-        out = left.lateralJoin(sub.toDF(*[f"_s{i}" for i in range(len(b))]), how=kind)
-        return out.toDF(*names) if len(out.columns) == a + len(b) else out
+        out = left.lateralJoin(sub, how=kind)
+        return out.toDF(*left.columns, *shown(out.columns[n:]))
     if kind == "left_semi":
         return left.where(sub.exists())
     if kind == "left_anti":
         return left.where(~sub.exists())
     if kind == "left_single":
-        names = [c + "_r" * (c in left.columns) for c in sub.columns]
-        got = left.select("*", sub.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(sub.columns, names, strict=True)])).scalar().alias("_row"))
-        return got.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("_row")[n].alias(n) for n in names])
+        got = left.select("*", sub.select(F.struct("*")).scalar().alias("_row"))
+        names = got.schema["_row"].dataType.names
+        return got.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("_row")[c].alias(o) for c, o in zip(names, shown(names), strict=True)])
     if kind == "left_mark":
         return left.select("*", widen(sub.exists()).alias(mark))
     raise Invalid(f"no lateral join of kind {kind}")

@@ -176,7 +176,7 @@ def join_lateral_top2(t):
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS n FROM customer")
 def join_lateral_single(t):
     o = t("orders").select("o_custkey", "o_totalprice")
-    right = lambda outer: o.where((F.col("o_custkey") == outer("c_custkey")) & (F.col("o_totalprice") > 300000)).agg(F.count(F.lit(1)).alias("n"))
+    right = lambda outer: o.where((F.col("o_custkey") == outer("c_custkey")) & (F.col("o_totalprice") > 300000)).select(F.count(F.lit(1)).alias("n"))
     return lateral(t("customer").select("c_custkey"), right, "left_single")
 
 

@@ -284,8 +284,12 @@ def test_nullability_helpers(spark, left):
 
 
 def test_notation(spark):
-    t = table(spark, "a decimal(10,2) not null, b date, c timestamp_ntz, d array<int>, e map<string, double>, f binary, g varchar(4)")
-    assert schema_of(t)[:6] == ["dec(10,2)", "date?", "precision_timestamp(6)?", "list(i32?)?", "map(str, fp64?)?", "vbin?"]
+    t = table(spark, "a decimal(10,2) not null, b date, c timestamp_ntz, d array<int>, e map<string, double>, f binary")
+    spark.sql("DROP TABLE IF EXISTS plankton_n")
+    spark.sql("CREATE TABLE plankton_n (a VARCHAR(4), b CHAR(3)) USING parquet")
+    assert schema_of(spark.table("plankton_n")) == ["vchar(4)?", "fchar(3)?"]
+    spark.sql("DROP TABLE plankton_n")
+    assert schema_of(t) == ["dec(10,2)", "date?", "precision_timestamp(6)?", "list(i32?)?", "map(str, fp64?)?", "vbin?"]
 
 
 def test_decimal_types(spark):
