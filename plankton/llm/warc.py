@@ -34,6 +34,8 @@ from .common import Scratch, documents
 REVISIT_BYTES = 100
 #: Records of one file: keeps an archive small enough to be read by one task.
 FILE_RECORDS = 5000
+#: Compressed bytes that are inflated at a time.
+PIECE = 1 << 14
 GZIP = b"\x1f\x8b\x08"
 #: Fixed value: an empty gzip member.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
@@ -117,13 +119,16 @@ def parse(data: bytes, start: int = 0) -> tuple[dict, bytes, int]:
 def inflate(data: bytes, start: int) -> tuple[bytes, int]:
     """Content and end of the gzip member at `start`; ValueError if it is damaged or cut off."""
     d = zlib.decompressobj(31)
+    out, pos = [], start
     try:
-        out = d.decompress(data[start:])
+        while not d.eof and pos < len(data):  # piece by piece, as what follows the member is copied
+            out.append(d.decompress(data[pos : pos + PIECE]))
+            pos += PIECE
     except zlib.error as e:
         raise ValueError("member is damaged") from e
     if not d.eof:
         raise ValueError("member is cut off")
-    return out, len(data) - len(d.unused_data)
+    return b"".join(out), min(pos, len(data)) - len(d.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, bytes | None]]:
