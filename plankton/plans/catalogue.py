@@ -59,10 +59,10 @@ def read_filter_and_mask(t):
     return rows.read_filtered(t("orders"), condition=lambda d: d["o_orderpriority"] == "1-URGENT", fields=["o_orderkey", "o_totalprice"])
 
 
-@query("SELECT c_custkey, {'nation': c_nationkey, 'segment': c_mktsegment} AS s FROM customer")
+@query("SELECT c_custkey, c_nationkey AS nation, c_mktsegment AS segment FROM customer")
 def read_nested_mask(t):
     x = t("customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("s"))
-    return rows.mask(x, ["c_custkey", ("s", ["nation", "segment"])])
+    return rows.mask(x, ["c_custkey", ("s", ["nation", "segment"])]).select("c_custkey", "s.*")
 
 
 @query("SELECT *, s_acctbal * 2 AS twice, s_acctbal IS NULL AS missing FROM supplier")
@@ -80,9 +80,9 @@ def virtual_table(t):
     return tables.literal_rows(t("region").sparkSession, [(1, "a"), (2, None)], "n int not null, s string")
 
 
-@query("SELECT n_nationkey AS id, {'region': n_regionkey, 'name': n_name} AS about FROM nation")
+@query("SELECT n_nationkey AS id, n_regionkey AS region, n_name AS name FROM nation")
 def names_depth_first(t):
-    return rows.rename(t("nation").select("n_nationkey", F.struct("n_regionkey", "n_name")), ["id", "about", "region", "name"])
+    return rows.rename(t("nation").select("n_nationkey", F.struct("n_regionkey", "n_name")), ["id", "about", "region", "name"]).select("id", "about.*")
 
 
 # Joins ---------------------------------------------------------------------
@@ -238,7 +238,7 @@ def aggregate_phases(t):
 
 # Set operations ------------------------------------------------------------
 
-P, S1, S2 = ("SELECT l_suppkey AS k, l_returnflag AS f FROM lineitem WHERE l_orderkey % 5 = {i} AND l_partkey % 7 <= 1".format(i=i) for i in range(3))
+P, S1, S2 = ("SELECT l_suppkey AS k, CAST(l_quantity AS INTEGER) AS f FROM lineitem WHERE l_orderkey % 5 = {i} AND l_partkey % 7 <= 1".format(i=i) for i in range(3))
 
 for name, sql in {
     "minus_primary": "SELECT DISTINCT * FROM (({p}) EXCEPT ({a}) EXCEPT ({b}))",
@@ -252,7 +252,7 @@ for name, sql in {
 }.items():
 
     def set_op(t, name=name):
-        x = t("lineitem").where("l_partkey % 7 <= 1").select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("f"), "l_orderkey")
+        x = t("lineitem").where("l_partkey % 7 <= 1").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").cast("int").alias("f"), "l_orderkey")
         return getattr(setops, name)(*[x.where(f"l_orderkey % 5 = {i}").drop("l_orderkey") for i in range(3)])
 
     set_op.__name__ = f"set_{name}"
