@@ -8,8 +8,6 @@ the default) or from S2 as Spark does (`by="scale"`).
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import types as T
 
@@ -55,11 +53,3 @@ def arithmetic(op: str, x: Column, y: Column, a: tuple[int, int], b: tuple[int,
     if op == "modulus":
         return (x % y).cast(to)
     return (x / y).cast(to)
-
-
-def exact_quotient(x: Decimal, y: Decimal, p: int, s: int) -> Decimal:
-    """The quotient in plain Python, for tests: rounded half away from zero at scale s."""
-    n = abs(x) * 10 ** (s + 1) // abs(y)
-    n = (n + 5) // 10
-    sign = -1 if (x < 0) != (y < 0) else 1
-    return Decimal(sign * int(n)).scaleb(-s)

@@ -43,17 +43,18 @@ def keep(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(condition)
 
 
-def mask(df: DataFrame, fields: Sequence[str | tuple[str, Sequence]]) -> DataFrame:
+def mask(df: DataFrame, fields: Sequence[str | tuple[str, Sequence]], *, reorder: bool = False) -> DataFrame:
     """Listed columns; a pair (name, fields) keeps only some fields of a struct, to any depth.
 
-    Fields must be listed in the order in which the input has them: whether a
-    mask may reorder is not settled.  A null struct stays null.
+    Whether a mask may reorder is not settled: fields must be listed in the
+    order in which the input has them, unless reorder says to take them as
+    listed.  A null struct stays null.
     """
 
     def narrowed(c: Column, t: T.DataType, listed: Sequence, null: bool) -> Column:
         order = [f.name for f in t.fields]
         at = [order.index(x if isinstance(x, str) else x[0]) for x in listed]
-        if at != sorted(at):
+        if at != sorted(at) and not reorder:
             raise Invalid("the mask lists fields out of order")
         parts = []
         for x, i in zip(listed, at, strict=True):
@@ -66,7 +67,7 @@ def mask(df: DataFrame, fields: Sequence[str | tuple[str, Sequence]]) -> DataFra
     if missing := [n for n in names if n not in df.columns]:
         raise Invalid(f"no column {missing[0]}")
     at = [df.columns.index(n) for n in names]
-    if at != sorted(at):
+    if at != sorted(at) and not reorder:
         raise Invalid("the mask lists columns out of order")
     return df.select(*[F.col(f"`{x}`") if isinstance(x, str) else narrowed(F.col(f"`{x[0]}`"), df.schema[x[0]].dataType, x[1], df.schema[x[0]].nullable).alias(x[0]) for x in fields])
 
