@@ -143,14 +143,13 @@ def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[t
 
 
 def unsettled(members: DataFrame, least: float) -> DataFrame:
-    """members: bucket, band, id, component, sig of buckets with several components -> those of them that have a promising pair, by run.
+    """members: bucket, blocks, band, id, component, sig of buckets with several components -> those of them that have a promising pair, by run.
 
     A bucket of m members is dealt into ceil(m / BLOCK) blocks and every two
     blocks meet once, in one run of at most about 2 * BLOCK rows.  A row comes
     out at most once for each run it is in, not once for each pair.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    m = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    m = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("run", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).withColumn("within", F.col("block") == F.col("other")).select(*Run.COLUMNS)
 
@@ -224,8 +223,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
     sigs = full.select("id", "sig")
     reps = full.select("id", "keys").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     buckets = scratch.keep(reps.select(F.posexplode("keys").alias("band", "key"), "id").select(F.xxhash64("band", "key").alias("bucket"), F.col("band").cast("int").alias("band"), "id"), "buckets")
+    # Both sides of the joins on a bucket are stored, so Spark can split a bucket that holds many rows.
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most").select("bucket", "hub")
-    shared = scratch.keep(buckets.join(hubs, "bucket"), "shared")
+    shared = scratch.keep(buckets.join(scratch.keep(hubs, "hubs"), "bucket"), "shared")
     pairs = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     links = scratch.keep(verified(promising(pairs, sigs, least), docs, words, num, den), "star")
     parts = connected_components(links, scratch)
@@ -233,9 +233,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
     def labelled(ids: DataFrame) -> DataFrame:
         return ids.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    placed = labelled(shared.select("bucket", "band", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
-    members = placed.join(mixed, "bucket", "left_semi").distinct().join(sigs, "id")
+    placed = scratch.keep(labelled(shared.select("bucket", "band", "id")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mixed = scratch.keep(mixed.where("least <> most").select("bucket", "blocks"), "mixed")
+    members = scratch.keep(placed.join(mixed, "bucket"), "members").join(sigs, "id")
     open_rows = scratch.keep(unsettled(members, least), "unsettled")
     links = scratch.keep(links.union(settled(open_rows, docs, words, num, den, least)).distinct(), "links")
     # Rows that share an id but not a text stay one node: their classes' representatives are linked.
