@@ -236,6 +236,41 @@ def aggregate_phases(t):
     return agg.aggregate(first, ["o_custkey"], mean=aggregates.merge("avg", F.col("mean")), n=aggregates.merge("count", F.col("n")))
 
 
+@query("""SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderpriority) AS TINYINT) AS folded, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
+def aggregate_grouping_function(t):
+    return t("orders").rollup("o_orderstatus", "o_orderpriority").agg(F.grouping("o_orderpriority").alias("folded"), F.count(F.lit(1)).alias("n"))
+
+
+# Subqueries: truth values that are projected come from mark joins ----------
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def subquery_not_in(t):
+    marked = join(t("customer").select("c_custkey"), t("orders").where("o_totalprice > 400000").select("o_custkey"), [("c_custkey", "o_custkey")], "left_mark")
+    return rows.keep(marked, ~F.col("mark")).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END FROM orders)")
+def subquery_not_in_with_null(t):
+    listed = t("orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("k"))
+    return rows.keep(join(t("customer").select("c_custkey"), listed, [("c_custkey", "k")], "left_mark"), ~F.col("mark")).select("c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
+def subquery_scalar(t):
+    o = t("orders").select("o_orderkey", "o_totalprice")
+    return o.where(F.col("o_totalprice") > o.select((F.avg("o_totalprice") * 1.5).alias("m")).scalar()).select("o_orderkey")
+
+
+@query("SELECT p_partkey, p_size >= ALL (SELECT p_size FROM part WHERE p_brand = 'Brand#11') AS mark FROM part")
+def subquery_comparison_all(t):
+    """x >= all of a list: no member is greater, three-valued as the negated mark of `less than`."""
+    p = t("part").select("p_partkey", "p_size")
+    top = t("part").where("p_brand = 'Brand#11'").agg(F.max("p_size").alias("top"), F.coalesce(F.bool_or(F.col("p_size").isNull()), F.lit(False)).alias("unknown"))
+    value = F.when(F.col("top").isNull(), ~F.col("unknown") | F.lit(None)).when(F.col("p_size") < F.col("top"), False).when(F.col("unknown"), F.lit(None)).otherwise(F.col("p_size") >= F.col("top"))
+    return cross(p, top).select("p_partkey", value.alias("mark"))
+
+
 # Set operations ------------------------------------------------------------
 
 P, S1, S2 = ("SELECT l_suppkey AS k, CAST(l_quantity AS INTEGER) AS f FROM lineitem WHERE l_orderkey % 5 = {i} AND l_partkey % 7 <= 1".format(i=i) for i in range(3))
