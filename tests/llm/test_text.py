@@ -170,7 +170,7 @@ def test_model_probabilities_sum_to_one(spark):
     docs = lmscore.marked(frame(spark, [(i, t, None) for i, t in small()]), spark.createDataFrame([(0,), (3,)], "doc_id long"), "doc_id", "text", "doc_id")
     from plankton.llm.common import Scratch
 
-    vocab, keys, *models = lmscore.train(docs, Scratch(spark, "t"), 0.01, 0.004)
+    vocab, keys, *models = lmscore.train(docs, docs.select("text"), Scratch(spark, "t"), 0.01, 0.004)
     w = np.arange(1, vocab.size)
     for m in models:
         for h in range(vocab.size):
