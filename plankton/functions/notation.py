@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -33,10 +35,10 @@ def field(t: T.DataType, nullable: bool) -> str:
 
 
 def schema_of(df: DataFrame) -> list[str]:
-    """The schema of a DataFrame, one entry a column; a declared char or varchar length is read from the column's metadata."""
+    """The schema of a DataFrame, one entry a column; declared types and lengths are read from the column's metadata."""
     out = []
     for f in df.schema.fields:
-        declared = f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "")
-        name = declared.replace("varchar(", "vchar(") if declared.startswith("varchar") else declared.replace("char(", "fchar(") if declared else type_name(f.dataType)
+        text = f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "")
+        name = f.metadata.get("plankton.type") or re.sub(r"^(var)?char", lambda m: "vchar" if m[1] else "fchar", text) or type_name(f.dataType)
         out.append(name + "?" * f.nullable)
     return out

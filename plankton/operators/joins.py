@@ -9,14 +9,12 @@ joins declare exactly the sides nullable that may lack a partner.
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable, Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import widen, widen_all
+from ..functions.nulls import required, widen, widen_all
 from .rows import Invalid
 
 #: Join kinds and Spark's names of those that it has itself.
@@ -114,20 +112,7 @@ def _single(a: Side, b: Side, condition: Column, keys: Keys | None) -> DataFrame
 def _required(df: DataFrame, side: Side) -> DataFrame:
     """Columns that were required on this side are declared so again after an aggregate that gives each row back whole."""
     was = {f.name: f for f in side.df.schema.fields}
-    return df.select(*[F.coalesce(F.col(c), _default(was[c].dataType)).alias(c) if c in was and not was[c].nullable else F.col(c) for c in df.columns])
-
-
-def _default(t) -> Column:
-    """Any required value of a type, for a coalesce that never gets to it."""
-    kind = t.typeName()
-    if kind == "struct":
-        return F.struct(*[_default(f.dataType).alias(f.name) for f in t.fields])
-    if kind == "array":
-        return F.array().cast(t)
-    if kind == "map":
-        return F.create_map().cast(t)
-    plain = {"string": "", "binary": bytearray(), "boolean": False, "date": datetime.date(1970, 1, 1), "timestamp": datetime.datetime(1970, 1, 1), "timestamp_ntz": datetime.datetime(1970, 1, 1), "decimal": Decimal(0)}
-    return F.lit(plain.get(kind, 0)).cast(t)
+    return df.select(*[required(F.col(c), was[c].dataType).alias(c) if c in was and not was[c].nullable else F.col(c) for c in df.columns])
 
 
 def _mark(a: Side, b: Side, condition: Column, keys: Keys | None, name: str) -> DataFrame:

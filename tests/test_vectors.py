@@ -7,7 +7,7 @@ from helpers import bag, table
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plankton.functions import aggregates, decimals
+from plankton.functions import aggregates, decimals, logical
 from plankton.functions.notation import schema_of
 from plankton.functions.nulls import narrow, widen, widen_all
 from plankton.operators import aggregate as agg
@@ -327,3 +327,45 @@ def test_decimal_quotient(spark):
     t = spark.createDataFrame(pairs, "x decimal(10,2), y decimal(5,1)")
     got = [r[0] for r in t.select(decimals.arithmetic("divide", F.col("x"), F.col("y"), (10, 2), (5, 1))).collect()]
     assert got == [exact_quotient(x, y, 8) for x, y in pairs]
+
+
+def test_overlapping_grouping_sets(spark):
+    t = table(spark, "g0 long not null, g1 string not null, v long not null", (1, "a", 10), (1, "b", 20))
+    out = agg.aggregate(t, ["g0", "g1"], [["g0"], ["g0", "g1"]], total=F.sum("v"))
+    assert schema_of(out) == ["i64", "str?", "i64?", "i32"]
+    assert set(bag(out)) == {(1, None, 30, 0), (1, "a", 10, 1), (1, "b", 20, 1)}
+
+
+def test_shared_input_and_deep_names(spark):
+    t = table(spark, "a long not null, b string", (1, "x"), (2, None))
+    assert len(bag(setops.union_all(t, t))) == 4
+    nested = t.select(F.struct(F.struct("a").alias("in"), "b").alias("s"))
+    assert schema_of(rows.rename(nested, list("wxyz"))) == ["struct(struct(i64), str?)"]
+
+
+def test_temporal_values_keep_their_precision(spark):
+    t = table(spark, "d date not null, missing date").unionByName(spark.sql("SELECT DATE'2024-03-01' AS d, CAST(NULL AS DATE) AS missing"))
+    assert schema_of(t) == ["date", "date?"]
+    ts = "2024-03-01 12:00:00.123456"
+    x = spark.sql(f"SELECT TIMESTAMP_NTZ'{ts}' AS s, TIMESTAMP_NTZ'{ts}' AS ms, TIMESTAMP_NTZ'{ts}' AS us")
+    out = logical.declare(x, s="precision_timestamp(0)", ms="precision_timestamp(3)", us="precision_timestamp(6)")
+    assert schema_of(out) == ["precision_timestamp(0)", "precision_timestamp(3)", "precision_timestamp(6)"]
+    assert [v.microsecond for v in out.first()] == [0, 123000, 123456]
+    with pytest.raises(ValueError, match="lost silently"):
+        logical.declare(x, s="precision_timestamp(9)")
+
+
+def test_declared_types_travel_and_are_kept(spark):
+    t = table(spark, "k long not null, u string, b binary not null, c string not null, v string", (1, "123E4567-E89B-12D3-A456-426614174000", b"\x01\x02", "de", "abc"), (2, None, b"\x03\x04", "f", None))
+    out = logical.declare(t, u="uuid", b="fbin(2)", c="fchar(5)", v="vchar(10)")
+    want = ["i64", "uuid?", "fbin(2)", "fchar(5)", "vchar(10)?"]
+    assert schema_of(out) == want
+    assert [r["c"] for r in out.orderBy("k").collect()] == ["de   ", "f    "] and out.where("k = 1").first()["u"].startswith("123e")
+    joined = join(out, out.select("k"), [("k", "k")], "left_semi")
+    assert schema_of(joined) == want and schema_of(rows.emit(out, [3, 1])) == ["fchar(5)", "uuid?"]
+    for wrong in ({"b": "fbin(3)"}, {"v": "vchar(2)"}, {"v": "uuid"}):
+        with pytest.raises(Exception, match="does not fit"):
+            logical.declare(t, **wrong).collect()
+    for wrong in ("uuid(3)", "fbin", "other"):
+        with pytest.raises(ValueError):
+            logical.declare(t, v=wrong)
