@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, small_batches
 from .textnum import constants, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -116,6 +116,7 @@ class Index:
 
 def indexes(items: DataFrame, words: int, threshold: float, item_id: str, item_text: str) -> Iterator[Index]:
     """An index for each block of items."""
+    small_batches(items.sparkSession)
     items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fresh
+from .common import documents, fresh, small_batches
 
 #: N-grams of a profile, of a language as of a document.
 PROFILE = 300
@@ -58,6 +58,7 @@ def learn(docs: DataFrame, *, size: int = PROFILE, text_col: str = "text", lang_
     shuffled by language and n-gram.  Only the profiles, `size` numbers for
     each language, come to the driver.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, fresh
+from .common import Scratch, documents, fresh, small_batches
 from .components import connected_components
 from .textnum import band_keys, mix, shingle_set, superminhash
 
@@ -213,6 +213,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
     empty one; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     num, den = threshold
     least = num / den - MARGIN
     scratch = Scratch(spark, "neardup")

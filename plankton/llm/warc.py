@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, small_batches
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
@@ -81,6 +81,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     responses.  A null id or url is left out of the header.  An empty table
     writes archives without records.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = with_originals(rows, "id", F.coalesce("html", F.lit("")).cast("binary"), min_bytes)
 
