@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: A conversation of more code points is rendered and encoded in parts, cut between turns.
@@ -56,21 +56,17 @@ def render(turns: list[tuple[str, str]], learn: frozenset[str]) -> tuple[str, np
 def intersect(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Mask of the tokens that touch a span, and the characters of the spans that tokens hold; spans and tokens ascend."""
     mask, loss = np.zeros(len(starts), bool), []
+    own = np.maximum(starts, np.concatenate([[0], np.maximum.accumulate(ends)[:-1]])) if len(starts) else starts
     first = np.searchsorted(ends, spans[:, 0], "right")
     last = np.searchsorted(starts, spans[:, 1], "left")
-    for (lo, hi), i, j in zip(spans, first, last, strict=True):
+    for (lo, hi), i, j in zip(spans.tolist(), first.tolist(), last.tolist(), strict=True):
         if lo == hi:
             continue
         mask[i:j] = True
-        done = lo
-        for s, e in zip(starts[i:j], ends[i:j], strict=True):
-            s, e = max(s, done), min(e, hi)
-            if s < e:
-                if loss and loss[-1][1] == s and s > lo:
-                    loss[-1] = (loss[-1][0], int(e))
-                else:
-                    loss.append((int(s), int(e)))
-                done = e
+        s, e = np.maximum(own[i:j], lo), np.minimum(ends[i:j], hi)
+        s, e = s[s < e], e[s < e]
+        cut = np.flatnonzero(s[1:] != e[:-1]) + 1
+        loss += zip(s[np.concatenate([[0], cut])].tolist(), e[np.concatenate([cut - 1, [len(e) - 1]])].tolist(), strict=True) if len(s) else []
     return mask, loss
 
 
@@ -106,6 +102,7 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
     empty one; other columns are not read.
     """
     rows = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    small_batches(rows.sparkSession)
     learned = frozenset(learn)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +115,7 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
             e = t.encode(text, add_special_tokens=False)
             at = np.array(e.offsets, np.int64).reshape(-1, 2)
             mask, loss = intersect(spans, at[:, 0], at[:, 1])
-            held.append((conv, part, len(turns), text, e.ids, at[:, 0].astype(np.int32), at[:, 1].astype(np.int32), mask, [{"lo": a, "hi": b} for a, b in loss]))
+            held.append((conv, part, len(turns), text, np.array(e.ids, np.int32), at[:, 0].astype(np.int32), at[:, 1].astype(np.int32), mask, [{"lo": a, "hi": b} for a, b in loss]))
 
         columns = [c.split()[0] for c in PARTS.split(", ") if not c.startswith("hi")]
         for batch in batches:
