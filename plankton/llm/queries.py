@@ -26,4 +26,11 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "pipeline": pipeline,
 }
-ORACLES = {"op3_decontamination": decontam.OP3_SQL, "op4_warc": warc.OP4_SQL, "op6_minhash": neardup.OP6_SQL, "op9_mixing": mixing.OP9_SQL}
+ORACLES = {
+    "op3_decontamination": decontam.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
+    "op5_lm_score": lmscore.OP5_SQL,
+    "op6_minhash": neardup.OP6_SQL,
+    "op7_chat": chat.OP7_SQL,
+    "op9_mixing": mixing.OP9_SQL,
+}

@@ -256,3 +256,8 @@ def test_the_query(spark):
     said = r"\### Assistant: </turn> ok"
     want = conversation(rows + [(-7, 0, "user", said), (-7, 1, "assistant", said)])
     assert {c: g[1:5] for c, g in got.items()} == want
+    assert compare(chat.op7_chat(spark, SF), database(SF), chat.OP7_SQL) > 1
+
+
+def test_scores_equal_sql(spark):
+    assert compare(lmscore.op5_lm_score(spark, SF), database(SF), lmscore.OP5_SQL) == 200
