@@ -155,3 +155,30 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.1, id_col: str = "d
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, text,
+         list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: (ascii(c) >> CAST(k AS INTEGER)) & 1))),
+                     lambda crc, bit: xor(crc >> 1, CASE WHEN xor(crc, bit) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295) AS crc FROM documents),
+t AS (
+  SELECT doc_id, lang, xor(crc, 4294967295) % 4 = 2 AS held_out,
+         regexp_extract_all(regexp_replace(chr(1) || regexp_replace(lower(coalesce(text, '')), '[^\p{L}]', chr(1), 'g') || chr(1), '\x01+', chr(1), 'g'), '(?s).') AS c FROM d),
+i AS (SELECT doc_id, lang, held_out, c, unnest(range(1, len(c) + 1)) AS i FROM t),
+g AS (
+  SELECT doc_id, lang, held_out, c[i] AS g FROM i WHERE c[i] <> chr(1)
+  UNION ALL SELECT doc_id, lang, held_out, c[i] || c[i + 1] FROM i WHERE i + 1 <= len(c)
+  UNION ALL SELECT doc_id, lang, held_out, c[i] || c[i + 1] || c[i + 2] FROM i WHERE i + 2 <= len(c) AND c[i + 1] <> chr(1)),
+n AS (SELECT doc_id, lang, held_out, g, count(*) AS n FROM g GROUP BY ALL),
+o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS r FROM n QUALIFY r < 300),
+p AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY s DESC, length(g), g) - 1 AS r
+  FROM (SELECT lang, g, sum(n) AS s FROM n WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, g) QUALIFY r < 300),
+a AS (
+  SELECT o.doc_id, l.lang, sum(least(300, abs(coalesce(p.r, 600) - o.r))) AS away, count(*) AS size
+  FROM o CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = o.g GROUP BY ALL),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY away, lang) = 1)
+SELECT t.doc_id, t.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - away::DOUBLE / (300 * size), 0) AS score
+FROM t LEFT JOIN b USING (doc_id)
+"""

@@ -27,10 +27,12 @@ QUERIES = {
     "pipeline": pipeline,
 }
 ORACLES = {
+    "op1_langid": langid.OP1_SQL,
     "op3_decontamination": decontam.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op5_lm_score": lmscore.OP5_SQL,
     "op6_minhash": neardup.OP6_SQL,
     "op7_chat": chat.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op10_sharding": sharding.OP10_SQL,
 }

@@ -112,6 +112,10 @@ def test_shards_of_repeated_and_null_ids(spark):
     assert max(counts) - min(counts) <= 1
 
 
+def test_shards_equal_sql(spark):
+    assert compare(sharding.op10_sharding(spark, SF), database(SF), sharding.OP10_SQL) == 200
+
+
 def test_one_more_shard_moves_few_rows(spark):
     docs = frame(spark, [(i, "s", "t") for i in range(6000)])
     a, b = ({r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, n_shards=n).collect()} for n in (16, 17))

@@ -38,6 +38,10 @@ def test_languages(spark):
     assert sorted((repr(r["doc_id"]), r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in got) == sorted((repr(i), brute.held_out(i), x, round(s, 9)) for (i, _, _), (x, s) in zip(rows, want, strict=True))
 
 
+def test_languages_equal_sql(spark):
+    assert compare(langid.op1_langid(spark, SF), database(SF), langid.OP1_SQL) == 200
+
+
 def test_nothing_to_learn_from(spark):
     assert langid.identify(frame(spark, [])).count() == 0
     assert [tuple(r)[2:] for r in langid.identify(frame(spark, [(1, "text", None)])).collect()] == [("und", 0.0)]
