@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import corpus_pipeline
 
 from . import chat, decontam, dsir, imatch, langid, lmscore, mixing, neardup, sharding, warc
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_imatch": imatch.op2_imatch,
@@ -24,7 +18,7 @@ QUERIES = {
     "op8_importance": dsir.op8_importance,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
-    "pipeline": pipeline,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_langid": langid.OP1_SQL,
@@ -35,4 +29,5 @@ ORACLES = {
     "op7_chat": chat.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_sharding": sharding.OP10_SQL,
+    "pipeline": corpus_pipeline.ORACLE_SQL,
 }

@@ -99,20 +99,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-OP10_SQL = r"""
-WITH RECURSIVE tab AS (
-  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), n)) AS tab),
-k AS (
-  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 14) AS BIGINT) AS pos FROM documents),
-c AS (
-  SELECT doc_id, pos, CAST(len(bytes) + 1 AS BIGINT) AS size,
-         CAST(xor(list_reduce(bytes, lambda crc, b: xor(crc >> 8, tab[(xor(crc, b) & 255) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32 FROM k, tab),
+#: Over a relation c of rows with a position `pos`, a doc_id and a column `tie`: r, the rows with arc and rank, and runs.
+FLOW_SQL = r"""
 ring AS (
   SELECT s, p, row_number() OVER (ORDER BY p, s) - 1 AS arc
   FROM (SELECT s, CAST('0x' || substr(md5(s || ':' || v), 1, 14) AS BIGINT) AS p FROM range(16) a(s), range(128) b(v))),
 r AS (
-  SELECT c.*, coalesce(ring.arc, 0) AS arc, row_number() OVER (PARTITION BY coalesce(ring.arc, 0) ORDER BY c.pos, doc_id NULLS FIRST, text_crc32) - 1 AS rank
+  SELECT c.*, coalesce(ring.arc, 0) AS arc, row_number() OVER (PARTITION BY coalesce(ring.arc, 0) ORDER BY c.pos, doc_id NULLS FIRST, tie) - 1 AS rank
   FROM c ASOF LEFT JOIN ring ON c.pos <= ring.p),
 flow AS (
   SELECT 0 AS round, arc, CAST(0 AS BIGINT) AS lo, count(*) AS hi, CAST(NULL AS BIGINT) AS shard, CAST(NULL AS BIGINT) AS slot FROM r GROUP BY arc
@@ -120,7 +113,7 @@ flow AS (
   SELECT round + 1, arc, CASE WHEN placed OR e = 0 THEN lo ELSE lo + take END, CASE WHEN placed OR e = 1 THEN hi ELSE lo + take END,
          CASE WHEN placed OR e = 0 THEN s END, CASE WHEN placed THEN slot WHEN e = 0 THEN used + start END
   FROM (
-    SELECT *, greatest(0, least(hi - lo, (SELECT count(*) FROM documents) // 16 + CASE WHEN s < (SELECT count(*) FROM documents) % 16 THEN 1 ELSE 0 END - used - start)) AS take
+    SELECT *, greatest(0, least(hi - lo, (SELECT count(*) FROM c) // 16 + CASE WHEN s < (SELECT count(*) FROM c) % 16 THEN 1 ELSE 0 END - used - start)) AS take
     FROM (
       SELECT f.*, f.shard IS NOT NULL AS placed, coalesce(f.shard, ring.s) AS s,
              CAST(sum(CASE WHEN f.shard IS NOT NULL THEN hi - lo ELSE 0 END) OVER (PARTITION BY coalesce(f.shard, ring.s)) AS BIGINT) AS used,
@@ -130,6 +123,21 @@ flow AS (
     WHERE waiting > 0), range(2) x(e)
   WHERE CASE WHEN placed THEN e = 0 WHEN e = 0 THEN take > 0 ELSE lo + take < hi END),
 runs AS (SELECT DISTINCT arc, lo, hi, shard, slot FROM flow WHERE shard IS NOT NULL)
+"""
+OP10_SQL = (
+    r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), n)) AS tab),
+k AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 14) AS BIGINT) AS pos FROM documents),
+c AS (
+  SELECT doc_id, pos, CAST(len(bytes) + 1 AS BIGINT) AS size,
+         CAST(xor(list_reduce(bytes, lambda crc, b: xor(crc >> 8, tab[(xor(crc, b) & 255) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32, text_crc32 AS tie FROM k, tab),
+"""
+    + FLOW_SQL
+    + """
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, slot + rank - lo AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM r JOIN runs ON r.arc = runs.arc AND rank >= lo AND rank < hi
 """
+)

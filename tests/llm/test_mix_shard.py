@@ -146,5 +146,6 @@ def test_pipeline_is_its_stages_in_plain_python(spark):
     shard = by_hand(mixed, sharding.SHARDS, sharding.VNODES)
     want = sorted((i, shard[k]) for k, i in enumerate(mixed))
     out = corpus_pipeline.run(spark, SF)
+    assert compare(out, database(SF), corpus_pipeline.ORACLE_SQL) == len(want)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
     assert sorted((r["doc_id"], r["shard"]) for r in out.collect()) == want
