@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .rows import Invalid
 
 
-def where(measure: Column, condition: Column, argument: Column | None = None) -> Column:
-    """Helper for filtered measures: the argument where the condition holds, else null."""
-    return F.when(condition, measure if argument is None else argument)
+def filtered(argument: Column, condition: Column) -> Column:
+    """The argument of a measure that counts only rows for which the condition is true: null elsewhere."""
+    return F.when(condition, argument)
 
 
 def aggregate(df: DataFrame, keys: Sequence[str] = (), sets: Sequence[Sequence[str]] | None = None, *, index: str = "set_index", **measures: Column) -> DataFrame:

@@ -19,15 +19,11 @@ def spec(partition: Sequence[str] = (), order: Sequence[Column] = (), rows: tupl
     return w.rowsBetween(Window.unboundedPreceding if lo is None else lo, Window.unboundedFollowing if hi is None else hi)
 
 
-def window(df: DataFrame, w: WindowSpec, **calls: Column) -> DataFrame:
+def window(df: DataFrame, w: WindowSpec, **calls: Column | Whole) -> DataFrame:
     """The input's columns and one for each call, declared nullable."""
     return df.select("*", *[widen(c.over(w)).alias(n) for n, c in calls.items()])
 
 
-def row_number() -> Column:
-    return Whole(F.row_number())
-
-
 class Whole:
     """A ranking function whose result is a 64-bit number."""
 
@@ -38,13 +34,17 @@ class Whole:
         return self.c.over(w).cast("long")
 
 
-def rank() -> Column:
+def row_number() -> Whole:
+    return Whole(F.row_number())
+
+
+def rank() -> Whole:
     return Whole(F.rank())
 
 
-def dense_rank() -> Column:
+def dense_rank() -> Whole:
     return Whole(F.dense_rank())
 
 
-def ntile(n: int) -> Column:
+def ntile(n: int) -> Whole:
     return Whole(F.ntile(n))

@@ -196,7 +196,7 @@ for kind, word in (("left_semi", "EXISTS"), ("left_anti", "NOT EXISTS")):
 @query("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS sum_qty, count(*) AS n,
   count(*) FILTER (l_discount > 0.05) AS discounted, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ALL""")
 def aggregate_single_set(t):
-    big = F.count(F.when(F.col("l_discount") > 0.05, 1))
+    big = F.count(agg.filtered(F.lit(1), F.col("l_discount") > 0.05))
     return agg.aggregate(t("lineitem"), ["l_returnflag", "l_linestatus"], sum_qty=F.sum(dec("l_quantity")), n=F.count(F.lit(1)), discounted=big, suppliers=F.count_distinct("l_suppkey"))
 
 
