@@ -242,10 +242,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: tuple[int, in
     links = scratch.keep(links.union(settled(open_rows, docs, words, num, den, least)).distinct(), "links")
     # Rows that share an id but not a text stay one node: their classes' representatives are linked.
     nodes = full.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "rep")
-    own = nodes.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    twice = own.join(own.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "a", "left_semi").select("a", "b")
+    node_of = nodes.groupBy("id").agg(F.min("rep").alias("node"), F.max("rep").alias("last"))
+    twice = nodes.join(node_of.where("node <> last"), "id", "left_semi").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     parts = connected_components(links.union(twice), scratch)
-    node_of = nodes.groupBy("id").agg(F.min("rep").alias("node"))
     joined = node_of.join(parts, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     out = sets.join(joined, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

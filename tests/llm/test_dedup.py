@@ -122,6 +122,12 @@ def test_near_duplicates_of_odd_tables(spark):
     assert kept.columns == ["doc_id", "text", "id", "lang", "source", "sig"] and kept.count() == 6
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    rows = [(4, "a b c d e f"), (9, "a b c d e f"), (9, "p q r s t u"), (12, "p q r s t u"), (12, "v w x y z o"), (15, "v w x y z o"), (3, "v w x y z o"), (20, "k l m"), (21, None)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.components(rows, 5, 80, 100) == {3: 3, 4: 3, 9: 3, 12: 3, 15: 3, 20: 20, 21: 21}
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 420)]
