@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +81,20 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of conv_id, part, n_turns, formatted and five arrays, in the columns of PARTS."""
+    conv, part, n, text, *arrays = zip(*rows, strict=True)
+
+    def lists(x: tuple[np.ndarray, ...]) -> pa.Array:
+        bounds = pa.array(np.cumsum([0, *map(len, x)]), pa.int32())
+        values = np.concatenate(x)
+        inner = pa.array(values) if values.ndim == 1 else pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, 0])), pa.array(np.ascontiguousarray(values[:, 1]))], ["lo", "hi"])
+        return pa.ListArray.from_arrays(bounds, inner)
+
+    made = [pa.array(conv, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.string()), *map(lists, arrays)]
+    return pa.RecordBatch.from_arrays(made, ["conv_id", "part", "n_turns", "formatted", "ids", "starts", "ends", "mask", "loss"])
+
+
 def load(path: str):
     """The tokenizer at `path`, its control strings read as ordinary text and its offsets untrimmed."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,7 +119,7 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
     small_batches(rows.sparkSession)
     learned = frozenset(learn)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(tokenizer)
         held: list[tuple] = []
         conv, part, turns, size = None, 0, [], 0
@@ -113,14 +127,12 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
         def close() -> None:
             text, spans = render(turns, learned)
             e = t.encode(text, add_special_tokens=False)
-            at = np.array(e.offsets, np.int64).reshape(-1, 2)
+            at = np.array(e.offsets, np.int32).reshape(-1, 2)
             mask, loss = intersect(spans, at[:, 0], at[:, 1])
-            held.append((conv, part, len(turns), text, np.array(e.ids, np.int32), at[:, 0].astype(np.int32), at[:, 1].astype(np.int32), mask, [{"lo": a, "hi": b} for a, b in loss]))
+            held.append((conv, part, len(turns), text, np.array(e.ids, np.int32), at[:, 0], at[:, 1], mask, np.array(loss, np.int32).reshape(-1, 2)))
 
-        columns = [c.split()[0] for c in PARTS.split(", ") if not c.startswith("hi")]
         for batch in batches:
-            for c, role, text in zip(batch["conv_id"], batch["role"], batch["text"], strict=True):
-                c = None if c != c else c
+            for c, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
                 if turns and (c != conv or size > PART_CHARS):
                     close()
                     part, turns, size = part + 1 if c == conv else 0, [], 0
@@ -128,31 +140,38 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
                 turns.append((role, text))
                 size += len(text)
             if held:
-                yield pd.DataFrame(held, columns=columns).astype({"conv_id": "Int64"})
+                yield as_batch(held)
                 held = []
         if turns:
             close()
-            yield pd.DataFrame(held, columns=columns).astype({"conv_id": "Int64"})
+            yield as_batch(held)
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, PARTS)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, PARTS)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of what format_conversations() put out, from its output alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, out = None, []
 
         def close() -> None:
             conv, n, turns, chars, loss, size = state
             out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+        def taken() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], columns)
+            out.clear()
+            return found
 
         for batch in batches:
-            for conv, part, text, loss in zip(batch["conv_id"], batch["part"], batch["formatted"], batch["loss"], strict=True):
-                conv = None if conv != conv else int(conv)
+            spans = batch.column("loss")
+            bounds = spans.offsets.to_numpy()
+            lo, hi = (spans.values.field(x).to_pylist() for x in ("lo", "hi"))
+            for k, (conv, part, text) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("conv_id", "part", "formatted")), strict=True)):
                 if part == 0:
                     if state:
                         close()
@@ -160,18 +179,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 for role, said in read_turns(text):
                     state[1] += 1
                     state[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                masked = unescape("".join(text[x["lo"] : x["hi"]] for x in loss))
+                masked = unescape("".join(text[lo[x] : hi[x]] for x in range(bounds[k], bounds[k + 1])))
                 state[3] += len(masked)
                 state[4].update(masked.encode("utf-8", "surrogatepass"))
                 state[5] += len(text)
             if out:
-                yield frame()
-                out.clear()
+                yield taken()
         if state:
             close()
-            yield frame()
+            yield taken()
 
-    return formatted.select("conv_id", "part", "formatted", "loss").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "part", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
