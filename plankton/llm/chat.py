@@ -14,8 +14,8 @@ hold it once.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, small_batches
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how the vocabulary's tokenizer splits a text before it merges bytes.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A conversation of more code points is rendered and encoded in parts, cut between turns.
 PART_CHARS = 1 << 16
 TURN = re.compile(r"<turn ((?:[^\\>]|\\.)*)>\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
@@ -95,15 +97,25 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, ["conv_id", "part", "n_turns", "formatted", "ids", "starts", "ends", "mask", "loss"])
 
 
-def load(path: str):
-    """The tokenizer at `path`, its control strings read as ordinary text and its offsets untrimmed."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, processors
+class Encoder:
+    """A byte-level tokenizer from a rank file; control strings in a text are ordinary text."""
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    t.post_processor = processors.ByteLevel(trim_offsets=False)
-    return t
+    def __init__(self, path: str, pattern: str = PATTERN):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(token) for token in ranks]
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids and the characters (start and end) that each token holds or has a byte of."""
+        ids = np.array(self.encoding.encode_ordinary(text), np.int32)
+        stop = np.cumsum(self.sizes[ids])
+        first = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+        begun = np.concatenate([[0], np.cumsum(first)])  # characters that begin before each byte
+        return ids, (begun[stop - self.sizes[ids] + 1] - 1).astype(np.int32), begun[stop].astype(np.int32)
 
 
 def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistant",), tokenizer: str = TOKENIZER, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -120,16 +132,15 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
     learned = frozenset(learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(tokenizer)
+        encoder = Encoder(tokenizer)
         held: list[tuple] = []
         conv, part, turns, size = None, 0, [], 0
 
         def close() -> None:
             text, spans = render(turns, learned)
-            e = t.encode(text, add_special_tokens=False)
-            at = np.array(e.offsets, np.int32).reshape(-1, 2)
-            mask, loss = intersect(spans, at[:, 0], at[:, 1])
-            held.append((conv, part, len(turns), text, np.array(e.ids, np.int32), at[:, 0], at[:, 1], mask, np.array(loss, np.int32).reshape(-1, 2)))
+            ids, starts, ends = encoder.encode(text)
+            mask, loss = intersect(spans, starts, ends)
+            held.append((conv, part, len(turns), text, ids, starts, ends, mask, np.array(loss, np.int32).reshape(-1, 2)))
 
         for batch in batches:
             for c, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):

@@ -231,6 +231,18 @@ def test_spans_and_tokens_meet_by_search():
     assert chat.intersect(np.empty((0, 2), int), starts, ends)[1] == []
 
 
+def test_offsets_are_those_of_another_library():
+    from tokenizers import Tokenizer, processors
+
+    other = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    other.encode_special_tokens = True
+    other.post_processor = processors.ByteLevel(trim_offsets=False)
+    for text in ["", "a", "é😀 日本語 x\n\n  y", "<|endoftext|> don't \u0301\u200d", "\\### Assistant: </turn> ok", "wörd " * 50]:
+        ids, starts, ends = chat.Encoder(chat.TOKENIZER).encode(text)
+        want = other.encode(text, add_special_tokens=False)
+        assert ids.tolist() == want.ids and list(zip(starts.tolist(), ends.tolist())) == want.offsets
+
+
 def conversation(rows):
     out = {}
     for c, turn, role, text in sorted(rows, key=lambda r: (repr(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
