@@ -1,8 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact containment.
 
 A short item inside a long document has almost no Jaccard similarity to it, so
-both sides are partitioned by size.  Items fall into classes by the power of
-two L that bounds their number of shingles; for each class a document is seen
+both sides are partitioned by size.  Items of at most STEP shingles are looked
+up exactly: if a document has k of an item's n shingles, it has one of any
+n - k + 1 of them, so these, the rarest among the items, are sought among all
+shingles of the document and none is missed.  Longer items fall into classes by
+the power of two L that bounds their number of shingles; for each class a document is seen
 as windows of 2 L shingles, L apart, one of which holds any passage of L
 shingles whole.  An item and a window that share one of HASHES MinHash values
 are candidates: at a containment of 0.8 the least Jaccard similarity of an item
@@ -33,7 +36,7 @@ from .textnum import constants, shingle_hashes, word_hashes
 WORDS = 5
 THRESHOLD = 0.8
 HASHES = 64
-#: Shingles of the smallest window step.
+#: Shingles of the smallest window step; items of no more are looked up exactly.
 STEP = 16
 BLOCK_BYTES = 16 << 20
 #: Shingles worked on at a time.
@@ -51,21 +54,47 @@ class Index:
                 self.ids.append(i)
                 self.sets.append(s)
         self.factors = constants(HASHES, 4)
+        self.short = self.lookup(*self.rarest())
         self.classes = {}
         level = [max(0, math.ceil(math.log2(len(s) / STEP))) for s in self.sets]
-        for at in sorted(set(level)):
+        for at in sorted(set(level) - {0}):
             own = [i for i, x in enumerate(level) if x == at]
             values = np.concatenate([(self.sets[i] * self.factors[:, None]).min(axis=1) for i in own])
-            owner = np.repeat(own, HASHES)
-            order = np.argsort(values, kind="stable")
-            bits = max(20, len(values).bit_length() + 4)
-            seen = np.zeros(1 << bits, bool)
-            seen[values & np.uint64((1 << bits) - 1)] = True
-            self.classes[at] = (values[order], owner[order], seen, np.uint64((1 << bits) - 1))
+            self.classes[at] = self.lookup(values, np.repeat(own, HASHES))
+
+    @staticmethod
+    def lookup(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+        """Values in order, their owners, and a bitmap of their lowest bits with its mask."""
+        order = np.argsort(values, kind="stable")
+        bits = max(20, len(values).bit_length() + 4)
+        seen = np.zeros(1 << bits, bool)
+        seen[values & np.uint64((1 << bits) - 1)] = True
+        return values[order], owner[order], seen, np.uint64((1 << bits) - 1)
+
+    def rarest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of short items, so many of each that a hit has one of them, and their owners."""
+        own = [i for i, s in enumerate(self.sets) if len(s) <= STEP]
+        if not own:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        distinct, count = np.unique(np.concatenate([self.sets[i] for i in own]), return_counts=True)
+        values = []
+        for i in own:
+            s = self.sets[i]
+            least = max(1, math.ceil(self.threshold * len(s)))
+            values.append(s[np.argsort(count[np.searchsorted(distinct, s)], kind="stable")][: max(0, len(s) - least + 1)])
+        return np.concatenate(values), np.repeat(own, [len(v) for v in values])
 
     def candidates(self, shingles: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs that share a value; the documents' shingles stand one after the other."""
         found: set[tuple[int, int]] = set()
+        values, owner, seen, mask = self.short
+        at = np.flatnonzero(seen[shingles & mask])
+        left, right = (np.searchsorted(values, shingles[at], side) for side in ("left", "right"))
+        of = np.repeat(np.arange(len(sizes)), sizes)[at]
+        for x in np.flatnonzero(right > left):
+            found.update((int(of[x]), int(o)) for o in owner[left[x] : right[x]])
+        if not self.classes:
+            return found
         firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         blocks = -(-sizes // STEP)
         doc = np.repeat(np.arange(len(sizes)), blocks)
@@ -74,7 +103,7 @@ class Index:
         low = np.empty((HASHES, len(starts)), np.uint64)
         for j, a in enumerate(self.factors):
             low[j] = np.minimum.reduceat(shingles * a, starts)
-        for at in range(max(self.classes, default=-1) + 1):
+        for at in range(max(self.classes) + 1):
             if at:  # join neighbours 0 and 1, 2 and 3, ... of each document
                 even = np.flatnonzero(number % 2 == 0)
                 low, doc, number = np.minimum.reduceat(low, even, axis=1), doc[even], number[even] // 2

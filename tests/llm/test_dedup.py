@@ -169,6 +169,23 @@ def test_contaminated(spark):
     assert clean.columns == ["doc_id", "text", "id", "lang", "source", "sig"]
 
 
+def test_short_items_in_long_documents(spark):
+    rng = random.Random(6)
+    items = [(i, prose(rng, 5 + max(0, i % 8 - 4))) for i in range(300)]
+    items += [(400 + n, prose(rng, n + 4)) for n in (14, 15, 16, 17, 18)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        end = len(w) if i % 3 else len(w) - 1
+        rows.append((i, prose(rng, rng.randrange(300, 500)) + " " + " ".join(w[:end]) + " " + prose(rng, 300)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.contaminated(frame(spark, rows), bench).collect())
+    want = brute.contaminated(rows, items)
+    assert got == want and {x[2] for x in want} >= {1, 2, 3, 4, 14, 15, 16, 17, 18}
+    clean = decontam.decontaminate(frame(spark, rows), bench)
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted({i for i, _ in rows} - {x[0] for x in want})
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 400)
     rng = random.Random(4)
