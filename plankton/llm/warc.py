@@ -13,7 +13,11 @@ off, a header that cannot be read, a length that runs past the end and a digest
 that does not match are failed checks.  The reader then searches for the next
 place where a whole valid member (or, in a plain archive, a version line with a
 whole record) starts, goes on from there, and logs the bytes between as a
-quarantined gap.
+quarantined gap.  Inside a member, whole or as far as it inflates, the search
+is for the next version line with a whole record, and a gap beside records says
+where in the member's content it lies.  In a member that does not decompress or
+fails its checksum only records count that their own digest proves, and not one
+that ends where the content does.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ FILE_RECORDS = 5000
 #: Compressed bytes that are inflated at a time.
 PIECE = 1 << 14
 GZIP = b"\x1f\x8b\x08"
+DAMAGED = "member is damaged"
 #: Fixed value: an empty gzip member.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -126,31 +131,90 @@ def inflate(data: bytes, start: int) -> tuple[bytes, int]:
             out.append(d.decompress(data[pos : pos + PIECE]))
             pos += PIECE
     except zlib.error as e:
-        raise ValueError("member is damaged") from e
+        raise ValueError(DAMAGED) from e
     if not d.eof:
         raise ValueError("member is cut off")
     return b"".join(out), min(pos, len(data)) - len(d.unused_data)
 
 
+def remains(data: bytes, start: int) -> bytes:
+    """What can be inflated of the damaged or cut member at `start`."""
+    d = zlib.decompressobj(31)
+    out, pos = [], start
+    while not d.eof and pos < len(data):
+        before = d.copy()
+        try:
+            out.append(d.decompress(data[pos : pos + PIECE]))
+        except zlib.error:
+            try:
+                for i in range(pos, min(pos + PIECE, len(data))):
+                    out.append(before.decompress(data[i : i + 1]))
+            except zlib.error:
+                break
+        pos += PIECE
+    return b"".join(out)
+
+
+def members_records(content: bytes, failed: str | None) -> list[tuple[str | None, dict | None, bytes | None]]:
+    """(problem, fields, block) of the records and gaps in a member's content, in order; failed says what is wrong with the member."""
+
+    def read(pos: int) -> tuple[dict, bytes, int]:
+        fields, block, end = parse(content, pos)
+        if failed == DAMAGED and (end == len(content) or not fields.get("warc-block-digest", "").startswith("sha256:")):
+            raise ValueError(failed)
+        return fields, block, end
+
+    found, pos = [], 0
+    while pos < len(content):
+        try:
+            fields, block, pos = read(pos)
+            found.append((None, fields, block))
+        except ValueError as e:
+            problem, stop = str(e), len(content)
+            for m in VERSION.finditer(content, pos + 1):
+                try:
+                    read(m.start())
+                except ValueError:
+                    continue
+                stop = m.start()
+                break
+            if failed and stop == len(content):
+                problem = failed
+            found.append(((problem, pos, stop), None, None))
+            pos = stop
+    if failed and (not found or found[-1][1]):
+        found.append(((failed, pos, pos), None, None))
+    alone = len(found) == 1
+    return [(p and (p[0] if alone else f"{p[0]}, bytes {p[1]} to {p[2]} of the member's content"), fields, block) for p, fields, block in found]
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, bytes | None]]:
     """(start, stop, problem, fields, block) of all records and gaps of an archive, in order and without overlap.
 
     A gap has a problem and no fields; it reaches from the place of the failed
-    check to the next valid record, or to the end.
+    check to the next valid record, or to the end.  Records and gaps of one
+    member have the member's bounds, if it is damaged those up to what follows.
     """
     view = memoryview(data)
     packed = data.startswith(GZIP) or not VERSION.search(data)
 
-    def at(pos: int) -> tuple[int, list[tuple[dict, bytes]]]:
+    def at(pos: int) -> tuple[int | None, list[tuple[str | None, dict | None, bytes | None]]]:
+        """End of what starts here, None where that cannot be told, and its records and gaps."""
         if not packed:
-            fields, block, end = parse(data, pos)
-            return end, [(fields, block)]
-        content, end = inflate(view, pos)
-        inner, found = 0, []
-        while inner < len(content):
-            fields, block, inner = parse(content, inner)
-            found.append((fields, block))
-        return end, found
+            try:
+                fields, block, end = parse(data, pos)
+            except ValueError as e:
+                return None, [(str(e), None, None)]
+            return end, [(None, fields, block)]
+        try:
+            content, end = inflate(view, pos)
+        except ValueError as e:
+            return None, members_records(remains(view, pos), str(e))
+        return end, members_records(content, None)
+
+    def readable(pos: int) -> bool:
+        end, found = at(pos)
+        return any(fields for _, fields, _ in found) or (end is not None and not found)
 
     def starts(pos: int) -> Iterator[int]:
         while True:
@@ -165,23 +229,12 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, by
 
     pos = 0
     while pos < len(data):
-        try:
-            end, found = at(pos)
-        except ValueError as e:
-            problem, stop = str(e), len(data)
-            for again in starts(pos + 1):
-                try:
-                    at(again)
-                except ValueError:
-                    continue
-                stop = again
-                break
-            yield pos, stop, problem, None, None
-            pos = stop
-        else:
-            for fields, block in found:
-                yield pos, end, None, fields, block
-            pos = end
+        end, found = at(pos)
+        if end is None:
+            end = next(filter(readable, starts(pos + 1)), len(data))
+        for entry in found:
+            yield pos, end, *entry
+        pos = end
 
 
 def payload_of(block: bytes) -> bytes:

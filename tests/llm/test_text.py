@@ -96,6 +96,34 @@ def test_salvage(packed):
     assert ids == list(range(12)) and gaps == [(at[3], at[3] + len(noise))]
 
 
+def test_salvage_inside_a_member():
+    parts = archive()
+    at = np.cumsum([0, *map(len, parts)])
+    whole = bytearray(b"".join(parts))
+    pack = lambda x: gzip.compress(bytes(x), mtime=0)
+    other = gzip.compress(warc.record("99", None, b"p", hashlib.sha256(b"p").hexdigest(), None), mtime=0)
+    assert found(pack(whole)) == (list(range(12)), [])
+    bad = bytearray(whole)
+    bad[at[5] - 6] ^= 0xFF
+    m = pack(bad)
+    assert found(m + other) == ([i for i in range(12) if i != 4] + [99], [(0, len(m))])
+    (gap,) = [r for r in warc.salvage(m) if r[2]]
+    assert gap[2] == f"block digest differs, bytes {at[4]} to {at[5]} of the member's content"
+    m = pack(whole)
+    half = len(m) // 2
+    for rest, more in ((b"", []), (other, [99]), (m, list(range(12)))):
+        ids, gaps = found(m[:half] + rest)
+        n = len(ids) - len(more)
+        assert 3 < n < 9 and ids == list(range(n)) + more and gaps == [(0, half)]
+    ids, gaps = found(m[:-3])
+    assert ids == list(range(12)) and gaps == [(0, len(m) - 3)]
+    hurt = bytearray(m)
+    hurt[len(m) // 2] ^= 0xFF
+    ids, gaps = found(bytes(hurt) + other)
+    assert ids[:4] == [0, 1, 2, 3] and ids[-1] == 99 and set(gaps) == {(0, len(m))}
+    assert found(bytes(hurt) + bytes(hurt) + other)[0] == ids[:-1] * 2 + [99]
+
+
 def test_round_trip(spark, tmp_path):
     long = "<p>" + "é" * 80
     rows = [(7, "http://a", long), (3, None, long), (9, "http://b\r\nX: y", long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (5, "u", ""), (6, "u", "x" * 400_000), (8, "WARC/1.1\r\n", "WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\n")]
