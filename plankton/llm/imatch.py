@@ -13,6 +13,8 @@ its terms are left, and 16 of the next level; so long texts are compared on
 sparse subsets and short ones on dense ones, and texts whose sizes differ
 little share a level.  The likeness of two fingerprints is the number of
 subsets in which both have the same terms, out of those in which either has any.
+As the subsets see only a sample of a long text's terms, one more hash covers
+all of them: it tells texts apart whose subsets agree and has no part in likeness.
 
 All of it is DataFrame operations on the executors.  Document frequencies cover
 every document.  The lexicon comes to the driver and goes back as a literal: a
@@ -53,7 +55,7 @@ def lexicon(docs: DataFrame, idf_band: tuple[float, float] = IDF_BAND, text_col:
 
 
 def with_fingerprint(df: DataFrame, text: Column, terms: list[int], name: str) -> DataFrame:
-    """Adds the struct `name`: level, parts (a hash for each subset, null where it holds no term) and text.
+    """Adds the struct `name`: level, parts (a hash for each subset, null where it holds no term), text and whole (a hash of all terms, null without any).
 
     A text without lexicon terms is reduced to all its terms instead, and one
     without any terms has only empty subsets.
@@ -76,7 +78,7 @@ def with_fingerprint(df: DataFrame, text: Column, terms: list[int], name: str) -
     df = df.withColumn("_p", F.concat(parts(F.col("_l")), parts(F.col("_l") + 1)))
     shown = F.transform("_p", lambda p: F.coalesce(F.lpad(F.lower(F.hex(p)), 4, "0"), F.lit("----")))
     text_form = F.concat(F.col("_l").cast("string"), F.lit(":"), F.array_join(shown, ""))
-    return df.withColumn(name, F.struct(F.col("_l").alias("level"), F.col("_p").alias("parts"), text_form.alias("text"))).drop("_t", "_k", "_l", "_p")
+    return df.withColumn(name, F.struct(F.col("_l").alias("level"), F.col("_p").alias("parts"), text_form.alias("text"), F.when(F.size("_k") > 0, F.xxhash64("_k")).alias("whole"))).drop("_t", "_k", "_l", "_p")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,7 +128,7 @@ def in_buckets(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame, *, idf_band: tuple[float, float] = IDF_BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; one row a document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, whole, edited_whole; one row a document.
 
     The edited text is the text with its last quarter (floor of code points
     / 4) replaced by as many code points from the start of the next document
@@ -145,7 +147,7 @@ def fingerprint_edits(docs: DataFrame, *, idf_band: tuple[float, float] = IDF_BA
     rows = with_fingerprint(rows.withColumn("edited", edited), F.col("edited"), terms, "changed")
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("own.text").alias("fingerprint"), F.col("changed.text").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next.own")).alias("near_next"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next.own")).alias("near_next"), F.col("own.whole").alias("whole"), F.col("changed.whole").alias("edited_whole"),
     )
 
 

@@ -279,6 +279,18 @@ def test_fingerprints(spark, size, monkeypatch):
         assert r["near_edited"] == pytest.approx(similar(own, changed)) and r["near_next"] == pytest.approx(similar(own, follows))
 
 
+def test_long_texts_that_differ_outside_the_subsets(spark):
+    w = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(w), " ".join(reversed(w)), *(" ".join([*w[:i], "other", *w[i + 1 :]]) for i in range(0, 2000, 100)), ""]
+    df = imatch.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), F.col("text"), [], "own")
+    first, again, *rest, empty = [r["own"] for r in df.orderBy("i").collect()]
+    assert first == again and empty["whole"] is None
+    assert sum(r["text"] == first["text"] for r in rest) > 10
+    assert len({first["whole"], *(r["whole"] for r in rest)}) == 21
+    out = imatch.fingerprint_edits(frame(spark, list(enumerate(texts))))
+    assert len({r["whole"] for r in out.collect()}) == 22
+
+
 def test_fingerprints_tell_edits_from_strangers(spark):
     out = imatch.op2_imatch(spark, "/root/testdata/sf0.01")
     r = out.agg(F.avg("near_edited"), F.avg("near_next"), F.avg((F.col("near_edited") > F.col("near_next")).cast("double"))).first()
