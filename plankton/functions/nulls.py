@@ -42,3 +42,9 @@ def some_value(t: T.DataType) -> Column:
 def required(c: Column, t: T.DataType) -> Column:
     """A column of type t that holds no null, declared so."""
     return F.coalesce(c, some_value(t))
+
+
+def declared(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns that `schema` declares required, and that hold no null, declared so again (after a step that forgot it)."""
+    was = {f.name: f for f in schema.fields if not f.nullable}
+    return df.select(*[required(F.col(f"`{c}`"), was[c].dataType).alias(c) if c in was else F.col(f"`{c}`") for c in df.columns])

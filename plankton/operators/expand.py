@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import Invalid
+from .rows import Invalid, distinct_names
+
+#: Bytes of rows that a broadcast exchange may send to every task, by the optimizer's estimate.
+BROADCAST_BYTES = 256 << 20
 
 
 def expand(df: DataFrame, fields: Sequence[Column | Sequence[Column]], *, index: str = "duplicate") -> DataFrame:
@@ -26,6 +29,7 @@ def expand(df: DataFrame, fields: Sequence[Column | Sequence[Column]], *, index:
     names = df.columns
     if len(fields) > len(names):
         names = [*names, *[f"field{i}" for i in range(len(names), len(fields))]]
+    distinct_names([*names, index])
     rows = [F.struct(*[(f if isinstance(f, Column) else f[i]).alias(f"_f{j}") for j, f in enumerate(fields)]) for i in range(n)]
     dealt = df.select(*[F.col(f"`{c}`").alias(f"_p{j}") for j, c in enumerate(df.columns)], F.posexplode(F.array(*rows)).alias(index, "_row"))
     out = [F.col("_row")[f"_f{j}"].alias(names[j]) for j in range(len(fields))]
@@ -34,7 +38,16 @@ def expand(df: DataFrame, fields: Sequence[Column | Sequence[Column]], *, index:
 
 
 def exchange(df: DataFrame, kind: str = "round_robin", *, partitions: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """The same rows, dealt anew: `round_robin`, by the hash of `keys` (`scatter`), by ranges of them (`range`) or into one partition (`single`)."""
+    """The same rows, dealt anew: `round_robin`, by the hash of `keys` (`scatter`), by ranges of them (`range`), into one partition (`single`) or to every task (`broadcast`).
+
+    A broadcast takes effect where the rows are joined; it is refused if the
+    optimizer's estimate of their size is over BROADCAST_BYTES or unknown.
+    """
+    if kind == "broadcast":
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size > BROADCAST_BYTES:
+            raise Invalid(f"about {size} bytes are too many for a broadcast")
+        return F.broadcast(df)
     if kind == "single":
         return df.coalesce(1)
     if kind in ("scatter", "range") and not keys:

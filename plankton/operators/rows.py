@@ -17,6 +17,21 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or `name` with underscores until no column of `df` has it (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def distinct_names(names: Sequence[str]) -> None:
+    """Refuses an output in which two columns would share a name (whatever its case)."""
+    lower = [n.lower() for n in names]
+    if again := [n for n, x in zip(names, lower, strict=True) if lower.count(x) > 1]:
+        raise Invalid(f"the output would have two columns {again[0]}")
+
+
 def emit(df: DataFrame, mapping: Sequence[int] | None = None) -> DataFrame:
     """Columns of the operator's own output by position, reordered, dropped or (under a new name) repeated; None passes all on."""
     if mapping is None:
@@ -33,8 +48,7 @@ def emit(df: DataFrame, mapping: Sequence[int] | None = None) -> DataFrame:
 
 def project(df: DataFrame, **new: Column) -> DataFrame:
     """The input's columns and after them the new ones; nothing is replaced."""
-    if clash := [c for c in new if c in df.columns]:
-        raise Invalid(f"the input has a column {clash[0]} already")
+    distinct_names([*df.columns, *new])
     return df.select("*", *[c.alias(n) for n, c in new.items()])
 
 

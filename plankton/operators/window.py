@@ -8,19 +8,27 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.nulls import widen
+from .rows import Invalid, distinct_names
 
 
-def spec(partition: Sequence[str] = (), order: Sequence[Column] = (), rows: tuple[int | None, int | None] | None = None) -> WindowSpec:
-    """rows: offsets of the first and last row of the frame from the current one (negative: preceding); None has no bound."""
+def spec(partition: Sequence[str] = (), order: Sequence[Column] = (), rows: tuple[int | None, int | None] | None = None, values: tuple[int | None, int | None] | None = None) -> WindowSpec:
+    """The frame by `rows`, offsets of its first and last row from the current one, or by `values`, offsets of the one ordering value (a RANGE frame).
+
+    Negative offsets precede; None has no bound.
+    """
     w = Window.partitionBy(*partition).orderBy(*order)
-    if rows is None:
+    if rows is not None and values is not None:
+        raise Invalid("a frame is by rows or by values")
+    if rows is None and values is None:
         return w
-    lo, hi = rows
-    return w.rowsBetween(Window.unboundedPreceding if lo is None else lo, Window.unboundedFollowing if hi is None else hi)
+    lo, hi = rows or values
+    first, last = Window.unboundedPreceding if lo is None else lo, Window.unboundedFollowing if hi is None else hi
+    return w.rowsBetween(first, last) if rows else w.rangeBetween(first, last)
 
 
 def window(df: DataFrame, w: WindowSpec, **calls: Column | Whole) -> DataFrame:
     """The input's columns and one for each call, declared nullable."""
+    distinct_names([*df.columns, *calls])
     return df.select("*", *[widen(c.over(w)).alias(n) for n, c in calls.items()])
 
 

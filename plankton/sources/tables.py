@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.nulls import declared
 from ..operators.rows import Invalid
+from .scratch import Scratch
 
 FORMATS = ("parquet", "orc", "csv", "json", "text")
 OUTPUTS = ("modified_records", "no_output")
@@ -63,12 +65,17 @@ def write(df: DataFrame, table: str, *, output: str = "no_output", create: bool
 
     Returns no rows (`no_output`) or the rows written (`modified_records`), in
     either case with the input's schema.  create with a schema needs an input
-    that matches it.  The rows are computed once more if they are asked for.
+    that matches it.  Rows that are asked for are computed once into a stored
+    table in the shared folder, from which they are inserted and returned: an
+    input that reads the table it writes to does not see its own rows.
     """
     if output not in OUTPUTS:
         raise Invalid(f"no output mode {output}")
     if schema is not None:
         check_schema(df, schema)
+    shape = df.schema
+    if output == "modified_records":
+        df = declared(Scratch(df.sparkSession, "write").keep(df, "rows"), shape)
     if create:
         df.write.format(fmt).saveAsTable(table)
     else:
@@ -83,6 +90,12 @@ def update(df: DataFrame, condition: Column, **new: Column) -> DataFrame:
     return df.select(*[F.when(condition, new[c].cast(df.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
 
 
+def create_table(spark: SparkSession, name: str, schema: T.StructType, *, fmt: str = "parquet") -> DataFrame:
+    """Defines an empty table; the result has no column and no row."""
+    spark.catalog.createTable(name, schema=schema, source=fmt)
+    return spark.createDataFrame([], T.StructType([]))
+
+
 def create_view(df: DataFrame, name: str) -> DataFrame:
     """Defines a view; the result has no column and no row."""
     df.createOrReplaceTempView(name)

@@ -61,6 +61,8 @@ def test_joins(spark, kind, seed):
         return
     two = expected(kind, left, right, lambda x, y: both(equal(x[0], y[0]), equal(x[1], y[1])))
     assert bag(join(a, b, [("k", "k"), ("v", "w")], kind)) == sorted(two, key=repr)
+    more = expected(kind, left, right, lambda x, y: both(both(equal(x[0], y[0]), equal(x[1], y[1])), None if y[1] is None else y[1] > 1))
+    assert bag(join(a, b, [("k", "k"), ("v", "w")], kind, residual=(lambda p, q: q["w"] > 1))) == sorted(more, key=repr)
     theta = expected(kind, left, right, lambda x, y: None if x[0] is None or y[0] is None else x[0] < y[0])
     assert bag(join(a, b, lambda p, q: p["k"] < q["k"], kind)) == sorted(theta, key=repr)
 

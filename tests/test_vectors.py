@@ -1,6 +1,9 @@
 """Small inputs with declared nullability: output schema and rows of each operator."""
 
+import random
 from decimal import Decimal
+from fractions import Fraction
+from math import floor
 
 import pytest
 from helpers import bag, table
@@ -11,7 +14,7 @@ from plankton.functions import aggregates, decimals, logical
 from plankton.functions.notation import schema_of
 from plankton.functions.nulls import narrow, widen, widen_all
 from plankton.operators import aggregate as agg
-from plankton.operators import expand, order, rows, setops, window
+from plankton.operators import expand, order, rows, setops, subqueries, window
 from plankton.operators.joins import cross, join, lateral
 from plankton.operators.rows import Invalid
 from plankton.sources import tables
@@ -115,6 +118,97 @@ def test_lateral(left, right, kind):
     assert schema_of(out) == JOINS[kind][0].split()
 
 
+def test_lateral_condition_and_three_valued_mark(spark):
+    a = table(spark, "a0 long not null, a1 long", (1, None), (2, 2), (3, 3))
+    b = table(spark, "b1 long", (2,), (None,))
+    none = b.where("b1 > 9")
+    same = lambda p, q: p["a1"] == q["b1"]
+    marks = lambda r: {x["a0"]: x["mark"] for x in lateral(a, lambda outer: r, "left_mark", condition=same).collect()}
+    assert marks(b) == {x["a0"]: x["mark"] for x in join(a, b, [("a1", "b1")], "left_mark").collect()} == {1: None, 2: True, 3: None}
+    assert marks(none) == {1: False, 2: False, 3: False}
+    assert bag(lateral(a, lambda outer: b, condition=same)) == [(2, 2, 2)]
+    assert bag(lateral(a, lambda outer: b, "left", condition=same, post_filter=lambda d: d["b1"].isNull())) == [(1, None, None), (3, 3, None)]
+    assert bag(lateral(a, lambda outer: b, "left_semi", condition=same)) == [(2, 2)]
+    assert bag(lateral(a, lambda outer: b, "left_anti", condition=same)) == [(1, None), (3, 3)]
+    assert bag(lateral(a, lambda outer: b.where("b1 IS NOT NULL"), "left_single", condition=same)) == [(1, None, None), (2, 2, 2), (3, 3, None)]
+
+
+def test_null_safe_keys(spark):
+    a, b = table(spark, "x long, p long", (1, 1), (None, 2), (3, 3)), table(spark, "y long, q long", (1, 10), (None, 20), (4, 30))
+    on = [("x", "y", "same")]
+    assert bag(join(a, b, on)) == [(1, 1, 1, 10), (None, 2, None, 20)]
+    assert bag(join(a, b, on, "left_single").select("p", "q")) == [(1, 10), (2, 20), (3, None)]
+    assert bag(join(a, b, on, "left_mark").select("p", "mark")) == [(1, True), (2, True), (3, False)]
+    assert bag(join(a, b, on, "right_anti").select("q")) == [(30,)]
+    with pytest.raises(Invalid):
+        join(a, b, [("x", "y", "like")])
+
+
+def test_marks_of_several_keys_make_no_pairs(spark):
+    t = table(spark, "x long, y long", (1, 2))
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    big = spark.range(10).select(F.col("id").alias("u"), F.nullif(F.col("id") % 3, F.lit(1)).alias("v"))
+    plan = text(join(t, big, [("x", "u"), ("y", "v")], "left_mark"))
+    # The one nested loop joins the one row that says which nulls the right side has.
+    assert "CartesianProduct" not in plan and all("Aggregate" in x.split("BroadcastExchange")[1].split("\n")[1] for x in plan.split("BroadcastNestedLoopJoin")[1:])
+    plan = text(join(t, big, [("x", "u"), ("y", "v")], "left_mark", residual=lambda a, b: a["x"] < b["v"]))
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_outputs_with_two_columns_of_one_name_are_refused(spark, left, right):
+    a, b = table(spark, "id long, id_r long", (1, 1)), table(spark, "id long", (1,))
+    for kind in ("inner", "left", "left_single", "right_single"):
+        with pytest.raises(Invalid):
+            join(a, b, [("id", "id")], kind)
+    with pytest.raises(Invalid):
+        cross(a, b)
+    marked = left.withColumnRenamed("a1", "mark")
+    for f in (lambda: join(marked, right, ON, "left_mark"), lambda: lateral(marked, lambda outer: right, "left_mark"), lambda: window.window(left, window.spec(), a1=F.count("a0")), lambda: expand.expand(left, [], index="a0"),
+              lambda: agg.aggregate(left, ["a0"], a0=F.sum("a1")), lambda: agg.aggregate(left, ["a0"], [["a0"], []], set_index=F.sum("a1")), lambda: subqueries.compare(marked, "a0", "<", "any", right.select("b0"))):
+        with pytest.raises(Invalid):
+            f()
+
+
+NAMES = ["_set", "_s", "_k0", "_n", "_m0", "_l0", "_r0", "_id", "_there", "_hit", "_nulls", "_unknown", "_row", "_p0", "_f0", "_c0", "_about", "_aset", "_bset", "_1"]
+
+
+def test_inner_names_do_not_clash(spark):
+    """Every operator over an input with columns of all the names that some operator uses inside."""
+    t = table(spark, "k long, " + ", ".join(f"`{n}` long" for n in NAMES), *[(k, *[v] * len(NAMES)) for k, v in ((1, 7), (2, 21), (None, 5))])
+    u = table(spark, "q long, p long", (1, 1), (None, 2))
+    v = F.col("_set")
+    two = lambda df, *more: bag(df.select("k", "_set", *more))
+    assert bag(agg.aggregate(t, ["_set"], [["_set"], []], s=F.sum("_s"), n=F.max("_k0"))) == sorted([(7, 7, 7, 0), (21, 21, 21, 0), (5, 5, 5, 0), (None, 33, 21, 1)], key=repr)
+    assert two(join(t, u, [("k", "q")], "left_mark"), "mark") == sorted([(1, 7, True), (2, 21, None), (None, 5, None)], key=repr)
+    assert two(join(t, u, [("k", "q"), ("_id", "p")], "left_mark"), "mark") == sorted([(1, 7, False), (2, 21, False), (None, 5, False)], key=repr)
+    assert two(join(t, u, [("k", "q")], "left_mark", residual=lambda a, b: a["_n"] > b["p"]), "mark") == sorted([(1, 7, True), (2, 21, None), (None, 5, None)], key=repr)
+    single = sorted([(1, 7, 1, 1), (2, 21, None, None), (None, 5, None, None)], key=repr)
+    assert two(join(t, u, lambda a, b: a["k"] == b["q"], "left_single"), "q", "p") == two(join(t, u, [("k", "q")], "left_single"), "q", "p") == single
+    assert two(lateral(t, lambda outer: u.where(F.col("q") == outer("k")), "left_single"), "q", "p") == single
+    assert two(lateral(t, lambda outer: u, "left_mark", condition=lambda a, b: a["k"] == b["q"]), "mark") == sorted([(1, 7, True), (2, 21, None), (None, 5, None)], key=repr)
+    assert len(two(expand.expand(t, [F.col("k"), [v, F.col("k")]]))) == 6
+    assert two(subqueries.compare(t, "_c0", ">", "all", u.select("q")), "mark") == sorted([(1, 7, None), (2, 21, None), (None, 5, None)], key=repr)
+
+
+@pytest.mark.parametrize("quantifier", ["any", "all"])
+@pytest.mark.parametrize("comparison", subqueries.COMPARISONS)
+def test_comparison_with_a_list(spark, comparison, quantifier):
+    import operator
+
+    does = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq, "<>": operator.ne}[comparison]
+    t = table(spark, "x long", (1,), (2,), (3,), (None,))
+    for members in ([], [2], [2, 2], [1, 3], [2, None], [None], [1, 2, 3, None]):
+        got = {r["x"]: r["mark"] for r in subqueries.compare(t, "x", comparison, quantifier, table(spark, "m long", *[(m,) for m in members])).collect()}
+        for x in (1, 2, 3, None):
+            truths = [None if x is None or m is None else does(x, m) for m in members]
+            first, last = (True, False) if quantifier == "any" else (False, True)
+            assert got[x] is (first if first in truths else None if None in truths else last), (members, x)
+    with pytest.raises(Invalid):
+        subqueries.compare(t, "x", "~", "any", t)
+    with pytest.raises(Invalid):
+        subqueries.compare(t, "x", "<", "some", t)
+
+
 def test_emit(left):
     assert rows.emit(left).columns == ["a0", "a1"]
     assert bag(rows.emit(left, [1, 0])) == [(2, 2), (None, 1)]
@@ -172,6 +266,12 @@ def test_write(spark, left):
     assert schema_of(out) == ["i64", "i64?"] and bag(out) == [(1, None), (2, 2)]
     assert spark.table("plankton_w").count() == 4
     spark.sql("DROP TABLE plankton_w")
+    assert schema_of(tables.create_table(spark, "plankton_w", left.schema)) == [] and bag(tables.read_named(spark, "plankton_w")) == []
+    tables.write(spark.range(5).select(F.col("id").alias("a0"), F.lit(None).cast("long").alias("a1")), "plankton_w")
+    # An input that reads the table it goes to: three rows are written, and these three are returned.
+    out = tables.write(spark.table("plankton_w").where("a0 < 3"), "plankton_w", output="modified_records")
+    assert bag(out) == [(0, None), (1, None), (2, None)] and spark.table("plankton_w").count() == 8
+    spark.sql("DROP TABLE plankton_w")
     assert schema_of(tables.create_view(left, "plankton_v")) == []
     assert bag(tables.read_named(spark, "plankton_v")) == [(1, None), (2, 2)]
     assert bag(tables.update(left, F.col("a1").isNull(), a0=F.lit(9))) == [(2, 2), (9, None)]
@@ -246,6 +346,12 @@ def test_windows(spark):
     assert schema_of(out) == ["i64", "i64?", "fp64?", "i64?"]
     out = window.window(t, window.spec(order=by, rows=(-1, 0)), s=F.sum("id"))
     assert bag(out) == [(1, 1), (2, 3), (3, 5), (4, 7)]
+    gaps = t.where("id <> 2")
+    assert bag(window.window(gaps, window.spec(order=by, values=(-1, 0)), s=F.sum("id"))) == [(1, 1), (3, 3), (4, 7)]
+    with pytest.raises(Invalid):
+        window.spec(rows=(0, 1), values=(0, 1))
+    with pytest.raises(Exception, match="(?i)window"):
+        window.window(t, window.spec(order=by), s=F.abs("id")).collect()
 
 
 def test_order(spark):
@@ -270,6 +376,17 @@ def test_expand(spark):
         expand.expand(t, [[F.col("c0")], [F.col("c0"), F.col("c1")]])
 
 
+def test_a_broadcast_has_a_bound(spark, left, monkeypatch):
+    some = spark.range(3).select(F.col("id").alias("b0"))
+    out = join(left, expand.exchange(some, "broadcast"), ON)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString() and bag(out) == [(1, None, 1), (2, 2, 2)]
+    assert bag(expand.exchange(some, "broadcast")) == bag(some)
+    monkeypatch.setattr(expand, "BROADCAST_BYTES", 10)
+    for refused in (some, left):
+        with pytest.raises(Invalid):
+            expand.exchange(refused, "broadcast")
+
+
 @pytest.mark.parametrize("kind", ["round_robin", "scatter", "range", "single"])
 def test_exchange_keeps_rows(left, kind):
     out = expand.exchange(left, kind, partitions=3, keys=["a0"])
@@ -278,6 +395,22 @@ def test_exchange_keeps_rows(left, kind):
         expand.exchange(left, "sideways")
 
 
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from plankton.sources import scratch
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_dir(Session)
+    assert scratch.shared_dir(spark)
+
+
 def test_nullability_helpers(spark, left):
     assert schema_of(left.select(widen(F.col("a0")), narrow(F.col("a1"), 0))) == ["i64?", "i64"]
     nested = left.select(F.struct("a0").alias("s"))
@@ -322,6 +455,45 @@ def exact_quotient(x: Decimal, y: Decimal, s: int) -> Decimal:
     return Decimal(sign * int(n)).scaleb(-s)
 
 
+CLAMPED = [((20, 6), (15, 2)), ((38, 10), (38, 10)), ((30, 5), (20, 20)), ((38, 38), (5, 0)), ((20, 4), (30, 25)), ((12, 2), (38, 0)), ((25, 25), (20, 3))]
+
+
+@pytest.mark.parametrize("a,b", CLAMPED)
+def test_clamped_quotients_are_rounded_once(spark, a, b):
+    """Random operands, half of them within one unit of a tie."""
+    rng = random.Random(str((a, b)))
+    p, s = decimals.result_type("divide", a, b)
+    pairs = []
+    while len(pairs) < 60:
+        x, y = (rng.choice([1, -1]) * Decimal(rng.randrange(1, 10 ** rng.randrange(1, t[0] + 1))).scaleb(-t[1]) for t in (a, b))
+        if rng.random() < 0.5:
+            tie = int(Fraction(2 * rng.randrange(10**6) + 1, 2) * Fraction(abs(y)) / 10**s * 10 ** a[1]) + rng.choice([-1, 0, 1])
+            x = Decimal(tie).scaleb(-a[1])
+        if abs(Fraction(x)) < 10 ** (a[0] - a[1]) and abs(Fraction(x) / Fraction(y)) < 10 ** (p - s) - 1:
+            pairs.append((x, y))
+    t = spark.createDataFrame(pairs, f"x decimal({a[0]},{a[1]}) not null, y decimal({b[0]},{b[1]}) not null")
+    out = t.select("x", "y", decimals.arithmetic("divide", F.col("x"), F.col("y"), a, b).alias("q"))
+    assert not out.schema["q"].nullable and out.schema["q"].dataType == T.DecimalType(p, s)
+    for r in out.collect():
+        whole = floor(abs(Fraction(r["x"]) / Fraction(r["y"])) * 10**s + Fraction(1, 2))
+        assert Fraction(r["q"]) == Fraction(whole, 10**s) * (-1 if (r["x"] < 0) != (r["y"] < 0) else 1)
+
+
+def test_quotients_of_null_and_zero(spark):
+    for a, b in (((10, 2), (5, 1)), ((20, 6), (15, 2)), ((38, 10), (38, 10))):
+        t = table(spark, f"x decimal({a[0]},{a[1]}), y decimal({b[0]},{b[1]}) not null", (None, Decimal(1)), (Decimal(1), Decimal(2)))
+        q = decimals.arithmetic("divide", F.col("x"), F.col("y"), a, b)
+        assert [r[0] for r in t.select(q).collect()] == [None, Decimal("0.5")] and t.select(q).schema[0].nullable
+        with pytest.raises(Exception, match="(?i)zero"):
+            t.select(decimals.arithmetic("divide", F.col("x"), F.col("y") - F.col("y"), a, b)).collect()
+
+
+def test_the_quotient_that_was_rounded_twice(spark):
+    t = table(spark, "x decimal(20,6) not null, y decimal(15,2) not null", (Decimal("999994999.999999"), Decimal("9999999999999.99")))
+    assert t.select(decimals.arithmetic("divide", F.col("x"), F.col("y"), (20, 6), (15, 2))).first()[0] == Decimal("0.000099999")
+    assert schema_of(t.select(decimals.arithmetic("modulus", F.col("x"), F.col("y"), (20, 6), (15, 2)))) == ["dec(19,6)"]
+
+
 def test_decimal_quotient(spark):
     pairs = [(Decimal("1.00"), Decimal("3.0")), (Decimal("-2.00"), Decimal("7.0")), (Decimal("12345678.90"), Decimal("-9999.9"))]
     t = spark.createDataFrame(pairs, "x decimal(10,2), y decimal(5,1)")
