@@ -1,70 +1,31 @@
-"""What several operators share: the shared folder, written intermediate tables, column helpers."""
+"""What several operators share: written intermediate tables, batch bounds, column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word, as every contract here spells it.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="plankton-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..operators.rows import fresh
+from ..sources.scratch import Scratch
 
+__all__ = ["BATCH_BYTES", "WORD", "Scratch", "documents", "fresh", "small_batches", "word_count"]
 
+#: A word, as every contract here spells it.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a batch of rows that goes to a Python worker.
 BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the batches that this session hands to Python by bytes: whole texts differ in length by orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
+    """Bounds the batches that this session hands to Python by bytes: whole texts differ in length by orders of magnitude.
 
-class Scratch:
-    """Intermediate tables, written as Parquet in the shared folder and read again.
-
-    A written table cuts the lineage: if an executor is lost, later stages
-    reread the files instead of recomputing what went before.
+    The bound must hold when the result runs, which is after the operator has
+    returned, so it stays set; a smaller one that the session has is kept.
     """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def path(self, name: str) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a kept table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """`name`, or `name` with underscores until no column of `df` has it (whatever its case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = str(spark.conf.get(key)).removesuffix("b")
+    if not own.isdecimal() or not 0 < int(own) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

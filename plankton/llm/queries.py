@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import chat, decontam, dsir, imatch, langid, lmscore, mixing, neardup, sharding, warc
+from . import chat, decontam, dsir, imatch, langid, lmscore, mixing, neardup, pipeline, sharding, warc
 
 
 QUERIES = {
@@ -18,7 +16,7 @@ QUERIES = {
     "op8_importance": dsir.op8_importance,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES = {
     "op1_langid": langid.OP1_SQL,
@@ -29,5 +27,5 @@ ORACLES = {
     "op7_chat": chat.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_sharding": sharding.OP10_SQL,
-    "pipeline": corpus_pipeline.ORACLE_SQL,
+    "pipeline": pipeline.ORACLE_SQL,
 }
