@@ -130,13 +130,15 @@ def languages(rows, size=300):
     return out
 
 
-def arcs(ids, n_shards, vnodes):
-    """Position and home point of each id on the ring, and the owner of each point."""
-    points = sorted((int(hashlib.md5(f"{s}:{v}".encode()).hexdigest()[:14], 16), s) for s in range(n_shards) for v in range(vnodes))
+def arcs(rows, n_shards, vnodes):
+    """Home point and place in its arc of each row (id, text), and the owner of each point."""
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:13], 16)
+    points = sorted((number(f"{s}:{v}"), s) for s in range(n_shards) for v in range(vnodes))
     at = []
-    for i in ids:
-        p = int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:14], 16)
-        at.append((next((k for k, (q, _) in enumerate(points) if q >= p), 0), p))
+    for i, t in rows:
+        key = "" if i is None else str(i)
+        p = number(key)
+        at.append((next((k for k, (q, _) in enumerate(points) if q >= p), 0), number(f"{key}:{t or ''}")))
     return at, [s for _, s in points]
 
 
