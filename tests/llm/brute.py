@@ -142,35 +142,68 @@ def arcs(rows, n_shards, vnodes):
     return at, [s for _, s in points]
 
 
-def bigram_scores(docs, targets, vocab_share, bigram_share, weight=0.7):
-    """{id: (words, target loss, background loss)} of (id, text) rows."""
-    uni = Counter(w for _, t in docs for w in words(t))
-    total = sum(uni.values())
-    vocab = {w for w, n in uni.items() if n >= max(1, vocab_share * total)}
-    seq = lambda t: ["<s>", *[w if w in vocab else "<unk>" for w in words(t)]]
-    size = len(vocab) + 2
-    models = []
-    for chosen in (targets, None):
-        pairs = Counter()
-        for i, t in docs:
-            if chosen is None or i in chosen:
-                s = seq(t)
-                pairs.update(zip(s, s[1:]))
-        n = sum(pairs.values())
-        kept = {p: c for p, c in pairs.items() if c >= max(1, bigram_share * n)}
-        hist, word = Counter(), Counter()
-        for (h, w), c in pairs.items():
-            hist[h] += c
-            word[w] += c
-
-        def prob(h, w, kept=kept, hist=hist, word=word, n=n):
-            mass = sum(c for (a, _), c in kept.items() if a == h) / hist[h] if hist[h] else 0
-            seen = kept.get((h, w), 0) / hist[h] if hist[h] else 0
-            return weight * seen + (1 - weight * mass) * (word[w] + 1) / (n + size)
-
-        models.append(prob)
-    out = {}
-    for i, t in docs:
-        s = seq(t)
-        out[i] = (len(s) - 1, *((-sum(math.log(m(h, w)) for h, w in zip(s, s[1:])) / (len(s) - 1)) if len(s) > 1 else None for m in models))
+def bigram_scores(docs, targets, frequent, prior=1.0):
+    """(words, target loss, background loss) of each of the rows (id, text), in order."""
+    seqs = [words(t) for _, t in docs]
+    total = sum(map(len, seqs))
+    uni = {side: Counter() for side in (True, False)}
+    begun = Counter()
+    for (i, _), w in zip(docs, seqs):
+        if w:
+            uni[i in targets].update(w)
+            begun[i in targets] += 1
+    every = uni[True] + uni[False]
+    known = {w for w, n in every.items() if n >= max(1, frequent * total)}
+    size = {side: sum(uni[side].values()) + begun[side] for side in uni}
+    least = min(size.values()) or max(size.values())
+    weight = {side: least / size[side] if size[side] else 1.0 for side in uni}
+    label = lambda w: w if w in known else "other words"
+    pairs, hist = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
+    own = []
+    for (i, _), w in zip(docs, seqs):
+        c = Counter(zip(["the start", *map(label, w)], [*w, "the end"])) if w else Counter()
+        own.append(c)
+        pairs[i in targets].update(c)
+        for (h, _), n in c.items():
+            hist[i in targets][h] += n
+
+    def lower(side, w):
+        mass = size[side] * weight[side] + len(every) + 1
+        if w == "the end" or w in known:
+            return ((begun[side] if w == "the end" else uni[side][w]) * weight[side] + 1) / mass
+        others = [x for x in every if x not in known]
+        return (sum(uni[side][x] for x in others) * weight[side] + len(others)) / mass / len(others)
+
+    out = []
+    for (i, _), w, c in zip(docs, seqs, own):
+        loss = []
+        for side in (True, False):
+            out_of = lambda n, side=side: n if (i in targets) == side else 0
+            x = [n * -math.log((weight[side] * (pairs[side][p] - out_of(n)) + prior * lower(side, p[1])) / (weight[side] * (hist[side][p[0]] - out_of(n)) + prior)) for p, n in c.items()]
+            loss.append(sum(x) / (len(w) + 1) if w else None)
+        out.append((len(w), *loss))
     return out
+
+
+def scramble(x):
+    """The splitmix64 finaliser."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def word_hash(word):
+    """A polynomial in odd numbers drawn for each byte."""
+    number = lambda b: scramble(((b + 1) * 0x9E3779B97F4A7C15 + 1) % 2**64) | 1
+    return scramble(sum(number(b) * pow(0xD1342543DE82EF95, k, 2**64) for k, b in enumerate(word.encode())) % 2**64)
+
+
+def buckets(text, n):
+    """Bucket of each word and of each pair of neighbours."""
+    memo = {w: word_hash(w) for w in set(words(text))}
+    h = [memo[w] for w in words(text)]
+    return [x % n for x in h] + [scramble((3 * a + b) % 2**64) % n for a, b in zip(h, h[1:])]
+
+
+def uniform(i, seed):
+    return (int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import os
 import random
 import sys
@@ -174,21 +175,19 @@ def small(n=40):
     return out + [(900, None), (901, "  "), (902, "rare words"), (3, "moon again")]
 
 
-def test_language_model_scores(spark):
-    rows = small()
-    targets = {i for i in range(0, 40, 3)}
-    ids = spark.createDataFrame([(i,) for i in targets] + [(0,), (None,)], "doc_id long")
-    got = lmscore.score_documents(frame(spark, [(i, t, None) for i, t in rows]), ids, vocab_share=0.01, bigram_share=0.004).collect()
-    want = brute.bigram_scores([r for r in rows if r != (3, "moon again")] + [(3, "moon again")], targets, 0.01, 0.004)
+@pytest.mark.parametrize("frequent,hot,targets", [(0.02, 0.01, range(0, 40, 3)), (1e-5, 1e-4, range(0, 40, 3)), (0.5, 0.5, range(0, 40, 3)), (0.02, 0.01, range(903)), (0.02, 0.01, [])])
+def test_language_model_scores(spark, monkeypatch, frequent, hot, targets):
+    monkeypatch.setattr(lmscore, "FREQUENT", frequent)
+    monkeypatch.setattr(lmscore, "HOT", hot)
+    monkeypatch.setattr(lmscore, "TASK_WORDS", 200)
+    rows = small() + [(5, None), (None, "moon star star"), (7, "x" * 100_000), (8, "very long " * 20_000)]
+    ids = spark.createDataFrame([(i,) for i in targets] + [(0,) for _ in targets][:2] + [(None,)], "doc_id long")
+    got = lmscore.score_documents(frame(spark, [(i, t, None) for i, t in rows]), ids).collect()
+    want = sorted(((i, *w) for (i, _), w in zip(rows, brute.bigram_scores(rows, set(targets), frequent), strict=True)), key=repr)
     assert len(got) == len(rows)
-    for r in got:
-        if r["doc_id"] != 3:
-            n, t, b = want[r["doc_id"]]
-            assert r["n_words"] == n
-            if n:
-                assert (r["loss_target"], r["loss_background"]) == (pytest.approx(t), pytest.approx(b)) and r["score"] == pytest.approx(t - b)
-            else:
-                assert r["loss_target"] is None and r["score"] is None
+    rounded = lambda r: tuple(round(x, 7) if isinstance(x, float) else x for x in r)
+    assert sorted((rounded(tuple(r)[:4]) for r in got), key=repr) == sorted(map(rounded, want), key=repr)
+    assert all(r["score"] == (None if r["n_words"] == 0 else pytest.approx(r["loss_target"] - r["loss_background"])) for r in got)
 
 
 def test_scores_without_rows_or_targets(spark):
@@ -198,19 +197,40 @@ def test_scores_without_rows_or_targets(spark):
     assert dsir.resample(frame(spark, []), none).count() == 0
 
 
-def test_model_probabilities_sum_to_one(spark):
-    docs = lmscore.marked(frame(spark, [(i, t, None) for i, t in small()]), spark.createDataFrame([(0,), (3,)], "doc_id long"), "doc_id", "text", "doc_id")
+def test_target_list_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "TARGETS", 3)
+    ids = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    marked = lmscore.marked(frame(spark, [(i, "a", None) for i in range(20)]), ids, "doc_id", "text", "doc_id")
+    assert marked.where("target").count() == 3 and marked.count() == 20
+
+
+def test_model_probabilities_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "FREQUENT", 0.02)
     from plankton.llm.common import Scratch
 
-    vocab, keys, *models = lmscore.train(docs, docs.select("text"), Scratch(spark, "t"), 0.01, 0.004)
-    w = np.arange(1, vocab.size)
-    for m in models:
-        for h in range(vocab.size):
-            k = h * vocab.size + np.arange(vocab.size)
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            p = np.exp(-m.losses(at, keys[at] == k, np.full(vocab.size, h), np.arange(vocab.size)))
+    rows = small()
+    docs = lmscore.marked(frame(spark, [(i, t, None) for i, t in rows]), spark.createDataFrame([(0,), (3,)], "doc_id long"), "doc_id", "text", "doc_id")
+    models, _ = lmscore.train(docs, Scratch(spark, "t"))
+    every = sorted({w for _, t in rows for w in brute.words(t)})
+    size = len(models.vocab.hashes)
+    assert 0 < size < len(every)
+    known = [models.vocab.codes(lmscore.word_hashes(w))[0] for w in every]
+    words = np.array([lmscore.END, *[int(k) if k != lmscore.OTHER else -(2**63) + i for i, k in enumerate(known)]], np.int64)
+    for side in models.sides:
+        for h in range(size + lmscore.FIRST):
+            # Counts that add up to the history's: here all of them on the first word.
+            counts = np.zeros(len(words))
+            counts[0] = round(side.history[h] / side.weight)
+            p = np.exp(-side.losses((np.int64(h) << lmscore.WORD_BITS) | words, counts, np.zeros(len(words))))
             assert p.sum() == pytest.approx(1) and (p > 0).all()
-    assert len(w) == vocab.size - 1
+
+
+def test_a_text_that_occurs_twice_scores_apart(spark):
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(60)) for _ in range(60)]
+    rows = list(enumerate(texts + texts[:5]))
+    got = {r["doc_id"]: r["loss_background"] for r in lmscore.score_documents(frame(spark, [(i, t, None) for i, t in rows]), spark.createDataFrame([(50,)], "doc_id long")).collect()}
+    assert max(got[i] for i in [*range(5), *range(60, 65)]) < min(got[i] for i in range(5, 50)) - 1
 
 
 def test_target_like_texts_score_low(spark):
@@ -222,23 +242,23 @@ def test_target_like_texts_score_low(spark):
 
 @pytest.mark.parametrize("share,few", [(0.1, 10_000), (0.1, 3), (0.0, 3), (1.0, 3)])
 def test_resample(spark, monkeypatch, share, few):
+    """Buckets, weights, Gumbel keys and the choice, all in plain Python."""
     monkeypatch.setattr(dsir, "FEW", few)
-    rows = [r for r in small(200) if r[1] != "moon again"]
+    rows = [r for r in small(200) if r[1] != "moon again"] + [(None, "no id"), (950, "x" * 50_000), (951, "long text " * 9000)]
     ids = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
-    got = dsir.resample(frame(spark, [(i, t, None) for i, t in rows]), ids, share=share).collect()
+    got = {r["doc_id"]: r for r in dsir.resample(frame(spark, [(i, t, None) for i, t in rows]), ids, share=share).collect()}
+    buckets = {i: brute.buckets(t, 10_000) for i, t in rows}
+    raw, target = [1] * 10_000, [1] * 10_000
+    for i, own in buckets.items():
+        for b in own:
+            raw[b] += 1
+            target[b] += i is not None and i in range(0, 60, 3)
+    weights = {i: sum(math.log(target[b] / sum(target)) - math.log(raw[b] / sum(raw)) for b in own) for i, own in buckets.items()}
+    keys = {i: w - math.log(-math.log(brute.uniform(i, "gumbel"))) for i, w in weights.items()}
+    assert all(got[i]["log_weight"] == pytest.approx(weights[i], abs=1e-6) and got[i]["key"] == pytest.approx(keys[i], abs=1e-6) for i in keys)
     k = -(-len(rows) * int(share * 10) // 10)
-    assert sum(r["selected"] for r in got) == k
-    best = {r["doc_id"] for r in sorted(got, key=lambda r: (-r["key"], r["doc_id"]))[:k]}
-    assert {r["doc_id"] for r in got if r["selected"]} == best
-    weights = {r["doc_id"]: r["log_weight"] for r in got}
-    counts = np.ones((2, dsir.BUCKETS))
-    for i, t in rows:
-        f = dsir.features(t, dsir.BUCKETS)
-        np.add.at(counts[0], f, 1)
-        if i in range(0, 60, 3):
-            np.add.at(counts[1], f, 1)
-    p = np.log(counts / counts.sum(axis=1, keepdims=True))
-    assert all(weights[i] == pytest.approx(float((p[1] - p[0])[dsir.features(t, dsir.BUCKETS)].sum())) for i, t in rows)
+    best = sorted(keys, key=lambda i: (-keys[i], i is not None, i or 0))[:k]
+    assert {i for i, r in got.items() if r["selected"]} == set(best)
 
 
 # Chat formatting
