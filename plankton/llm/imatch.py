@@ -5,22 +5,23 @@ lies in a band, and for each of several random subsets of that lexicon the
 sorted terms that fall in the subset are hashed.  Two texts agree in a subset
 if they hold the same lexicon terms there.
 
-A subset of level L keeps each term with probability 4**-L: from level 2 on the
-level deals the lexicon at random into 4**L cells and the first 16 are its
-subsets; on levels 0 and 1 the 16 subsets are drawn apart.  A document with T
-terms in the band uses 16 subsets of level floor(log4 T), where about 1 to 4 of
-its terms are left, and 16 of the next level; so long texts are compared on
-sparse subsets and short ones on dense ones, and texts whose sizes differ
-little share a level.  The likeness of two fingerprints is the number of
-subsets in which both have the same terms, out of those in which either has any.
-As the subsets see only a sample of a long text's terms, one more hash covers
-all of them: it tells texts apart whose subsets agree and has no part in likeness.
+There is one family of subsets for all texts: on level L the lexicon is dealt
+at random into SUBSETS * 4**L cells, and the first SUBSETS cells are the
+level's subsets.  So a fingerprint has the same places whatever the size of the
+text, and a place can be looked up.  Dense levels tell short texts apart and
+sparse levels compare long ones, of whose terms they see a sample.  The likeness
+of two fingerprints is the number of subsets in which both have the same terms,
+out of those in which either has any, on the sparsest level where that is half
+of the subsets at least (else on level 0).  One more hash covers all lexicon
+terms: it tells long texts apart whose subsets agree and has no part in likeness.
 
 All of it is DataFrame operations on the executors.  Document frequencies cover
-every document.  The lexicon comes to the driver and goes back as a literal: a
-term in the band occurs in at least exp(-max idf) of all documents, so there
-are at most (mean distinct terms of a document) * exp(max idf) of them, however
-many documents there are.
+every document.  The lexicon is one row, dealt into short lists by hash, and
+reaches the tasks as the value of a scalar subquery: a term in the band occurs
+in at least exp(-max idf) of all documents, so there are at most (mean distinct
+terms of a document) * exp(max idf) of them, however many documents there are.
+The next document of each is found on ids alone, in ranges of ids that exchange
+only their first rows; texts are dealt out once.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import Scratch, documents
 
 #: Terms found in at most a tenth and at least one in 200 of all documents.
 IDF_BAND = (math.log(10), math.log(200))
 SUBSETS = 16
-LEVELS = 8
-#: Rows of a bucket of neighbouring ids, about; and the most buckets.
-BUCKET_ROWS, MAX_BUCKETS = 250, 4096
+LEVELS = 6
+#: Ids of one range of neighbours, about.
+RANGE_ROWS = 1 << 17
 
 
 def term_ids(text: Column) -> Column:
@@ -46,85 +47,79 @@ def term_ids(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def lexicon(docs: DataFrame, idf_band: tuple[float, float] = IDF_BAND, text_col: str = "text") -> list[int]:
-    """Ids of the terms in the band; for its bound see above."""
+def lexicon(docs: DataFrame, scratch: Scratch, idf_band: tuple[float, float] = IDF_BAND, text_col: str = "text") -> tuple[DataFrame, int]:
+    """One row with the terms in the band, an array of short arrays where a term is in that of its number modulo their count; and that count."""
     n = docs.count()
     low, high = n * math.exp(-idf_band[1]), n * math.exp(-idf_band[0])
     df = docs.select(F.explode(term_ids(F.col(text_col))).alias("term")).groupBy("term").count()
-    return [r["term"] for r in df.where(F.col("count").between(low, high)).select("term").collect()]
+    terms = scratch.keep(df.where(F.col("count").between(low, high)).select("term"), "lexicon")
+    size = 2 * terms.count() + 1
+    lists = docs.sparkSession.range(size).join(terms.groupBy(F.pmod("term", F.lit(size)).alias("id")).agg(F.collect_list("term").alias("terms")), "id", "left")
+    one = lists.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms")))).alias("x"))
+    return scratch.keep(one.select(F.col("x.terms").alias("lists")), "lists"), size
 
 
-def with_fingerprint(df: DataFrame, text: Column, terms: list[int], name: str) -> DataFrame:
-    """Adds the struct `name`: level, parts (a hash for each subset, null where it holds no term), text and whole (a hash of all terms, null without any).
+def _cells(terms: Column) -> Column:
+    """The terms of each of the first SUBSETS cells, of terms that all lie in one of them or of level 0."""
+    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.filter(terms, lambda h: h.bitwiseAND(F.lit(SUBSETS - 1).cast("long")) == s))
 
-    A text without lexicon terms is reduced to all its terms instead, and one
-    without any terms has only empty subsets.
-    """
-    df = df.withColumn("_t", term_ids(text))
-    within = f"filter(_t, h -> h IN ({','.join(f'{t}L' for t in terms)}))" if terms else "array()"
-    df = df.withColumn("_k", F.expr(within)).withColumn("_k", F.array_sort(F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.col("_t"))))
-    df = df.withColumn("_l", F.expr(f"size(filter(array({','.join(str(4**i) for i in range(1, LEVELS + 1))}), x -> x <= size(_k)))"))
-
-    def parts(level: Column) -> Column:
-        cells = F.pow(F.lit(4.0), level).cast("long")
-        cell = lambda h: F.pmod(F.xxhash64(h, level), cells)
-        # A term's id with the cell in its lowest bits, so that a subset's terms are found by one comparison.
-        low = F.transform(F.filter("_k", lambda h: cell(h) < SUBSETS), lambda h: h.bitwiseAND(F.lit(-SUBSETS)).bitwiseOR(cell(h)))
-        dealt = lambda x: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.filter(x, lambda e: e.bitwiseAND(F.lit(SUBSETS - 1)) == s))
-        apart = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.filter("_k", lambda h: F.pmod(F.call_function("shiftright", F.xxhash64(h, level), s * 2), cells) == 0))
-        held = F.when(level >= 2, dealt(low)).otherwise(apart)
-        return F.transform(held, lambda x: F.when(F.size(x) > 0, F.shiftrightunsigned(F.xxhash64(x), 48)))
-
-    df = df.withColumn("_p", F.concat(parts(F.col("_l")), parts(F.col("_l") + 1)))
-    shown = F.transform("_p", lambda p: F.coalesce(F.lpad(F.lower(F.hex(p)), 4, "0"), F.lit("----")))
-    text_form = F.concat(F.col("_l").cast("string"), F.lit(":"), F.array_join(shown, ""))
-    return df.withColumn(name, F.struct(F.col("_l").alias("level"), F.col("_p").alias("parts"), text_form.alias("text"), F.when(F.size("_k") > 0, F.xxhash64("_k")).alias("whole"))).drop("_t", "_k", "_l", "_p")
 
+def _first_cells(mask: int):
+    return lambda h: h.bitwiseAND(F.lit(mask).cast("long")) < SUBSETS
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; 1 for equal fingerprints, 0 where no level is shared."""
-    low, high = (lambda x: F.slice(x["parts"], 1, SUBSETS)), (lambda x: F.slice(x["parts"], SUBSETS + 1, SUBSETS))
-    pair = lambda x, y: F.zip_with(x, y, lambda p, q: F.when(p.isNotNull() | q.isNotNull(), F.coalesce(p == q, F.lit(False)).cast("int")))
-    seen = F.when(a["level"] == b["level"], pair(a["parts"], b["parts"])).when(a["level"] == b["level"] + 1, pair(low(a), high(b))).when(a["level"] + 1 == b["level"], pair(high(a), low(b)))
-    either = F.filter(seen, lambda x: x.isNotNull())
-    share = F.size(F.filter(either, lambda x: x == 1)) / F.greatest(F.size(either), F.lit(1))
-    return F.when(a["text"] == b["text"], 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
 
+def with_fingerprint(df: DataFrame, text: Column, lexicon: tuple[DataFrame, int], name: str) -> DataFrame:
+    """Adds the struct `name`: parts (a hash for each subset, level by level up to the last that has a term; null for an empty subset), text (the same as text) and whole (a hash of all lexicon terms, null without any).
+
+    A text without lexicon terms has no parts and an empty fingerprint.
+    """
+    lists, size = lexicon
+    # Named before it is used, as a subquery may not stand inside a lambda; the optimizer puts its value there.
+    df = df.withColumn("_t", term_ids(text)).withColumn("_lists", lists.scalar())
+    df = df.withColumn("_k0", F.sort_array(F.filter("_t", lambda h: F.array_contains(F.element_at("_lists", (F.pmod(h, F.lit(size)) + 1).cast("int")), h)))).drop("_lists")
+    parts = F.array().cast("array<int>")
+    for level in range(LEVELS):
+        own = F.col(f"_k{level}")
+        hashes = F.transform(_cells(own), lambda x: F.when(F.size(x) > 0, F.shiftrightunsigned(F.xxhash64(x), 48).cast("int")))
+        parts = F.concat(parts, F.when(F.size(own) > 0, hashes).otherwise(F.array().cast("array<int>")))
+        if level + 1 < LEVELS:
+            mask = SUBSETS * 4 ** (level + 1) - 1
+            df = df.withColumn(f"_k{level + 1}", F.filter(own, _first_cells(mask)))
+    df = df.withColumn("_p", parts)
+    shown = F.transform("_p", lambda p: F.coalesce(F.lpad(F.lower(F.hex(p)), 4, "0"), F.lit("----")))
+    whole = F.when(F.size("_k0") > 0, F.xxhash64("_k0"))
+    return df.withColumn(name, F.struct(F.col("_p").alias("parts"), F.array_join(shown, "").alias("text"), whole.alias("whole"))).drop("_t", "_p", *[f"_k{i}" for i in range(LEVELS)])
 
-def in_buckets(docs: DataFrame, id_col: str) -> DataFrame:
-    """Rows in buckets of neighbouring ids, each bucket with a copy of the row after its last (`guest`).
 
-    Adds bucket, wrap, guest and ord (the id; nulls first).  The last bucket's
-    guest is the first row of all.  Only bucket bounds, at most MAX_BUCKETS
-    numbers, come to the driver.
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1; 1 for equal fingerprints, those of texts without lexicon terms among them."""
+    value = F.lit(0.0)
+    for level in range(LEVELS):
+        x, y = (F.slice(f["parts"], level * SUBSETS + 1, SUBSETS) for f in (a, b))
+        # One number a level: subsets that either has, and 100 for each in which both are the same.
+        seen = F.zip_with(x, y, lambda p, q: F.when(p.isNotNull() | q.isNotNull(), F.when(p == q, 101).otherwise(1)).otherwise(0))
+        n = F.aggregate(seen, F.lit(0), lambda total, one: total + one)
+        share = F.floor(n / 100) / F.greatest(n % 100, F.lit(1))
+        value = share if level == 0 else F.when((F.greatest(F.size(a["parts"]), F.size(b["parts"])) > level * SUBSETS) & (n % 100 >= SUBSETS // 2), share).otherwise(value)
+    return F.when(a["text"] == b["text"], 1.0).otherwise(value)
+
+
+def followers(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, tie, next_id, next_tie: the document that follows each by id (nulls first), then by a hash of its text; after the last comes the first.
+
+    docs: doc_id, tie and what depends on them.  Rows with one id and one text are one document.
     """
-    docs = docs.withColumn("ord", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
-    n, least = docs.agg(F.count(F.lit(1)), F.min("ord")).first()
-    parts = max(1, min(MAX_BUCKETS, math.ceil(n / BUCKET_ROWS)))
-    guess = docs.agg(F.percentile_approx("ord", [i / parts for i in range(1, parts + 1)], 10 * parts)).first()[0] if n else []
-    bounds = sorted({least, *(b for b in guess if b > least)}) if n else [0]
-
-    def bucket(bounds: list[int]) -> str:
-        """How many bounds are at most ord, less one: first among every k-th bound, then among the k that follow."""
-        k = math.isqrt(len(bounds)) + 1
-        groups = [bounds[i : i + k] for i in range(0, len(bounds), k)]
-        longs = lambda x: "array(" + ",".join("-9223372036854775807L - 1L" if b == -(2**63) else f"{b}L" for b in x) + ")"
-        coarse = f"(size(filter({longs(g[0] for g in groups)}, b -> b <= ord)) - 1)"
-        return f"{coarse} * {k} + size(filter(element_at(array({','.join(map(longs, groups))}), {coarse} + 1), b -> b <= ord)) - 1"
-
-    # percentile_approx may round large ids: the bounds that count are the least ids found in each bucket.
-    if n:
-        bounds = sorted(r[1] for r in docs.select("ord", F.expr(bucket(bounds)).alias("b")).groupBy("b").agg(F.min("ord")).collect())
-    docs = docs.withColumn("b", F.expr(bucket(bounds)))
-    firsts = [F.col("ord").isin(bounds[i : i + 1000]) for i in range(0, len(bounds), 1000)]
-    first = firsts[0]
-    for more in firsts[1:]:
-        first = first | more
-    place = lambda b, wrap, guest: F.struct(b.cast("int").alias("bucket"), F.lit(wrap).alias("wrap"), F.lit(guest).alias("guest"))
-    own = place(F.col("b"), False, False)
-    places = F.when(first & (F.col("b") == 0), F.array(own, place(F.lit(len(bounds) - 1), True, True)))
-    places = places.when(first, F.array(own, place(F.col("b") - 1, False, True))).otherwise(F.array(own))
-    return docs.withColumn("at", F.explode(places)).select("*", "at.*").drop("at", "b")
+    rows = scratch.keep(docs.distinct(), "ids")
+    n = rows.count()
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ranged = rows.repartitionByRange(max(1, math.ceil(n / RANGE_ROWS)), *order)
+    ranged = scratch.keep(ranged.withColumn("part", F.spark_partition_id()), "ranges")
+    firsts = ranged.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    everywhere = Window.orderBy("part")  # one row a range
+    firsts = firsts.select(F.col("part").alias("of"), F.coalesce(F.lead("first").over(everywhere), F.first("first").over(everywhere)).alias("first"))
+    after = ranged.withColumn("next", F.lead(F.struct("doc_id", "tie")).over(Window.partitionBy("part").orderBy(*order)))
+    after = after.join(firsts, F.col("part") == F.col("of")).withColumn("next", F.coalesce("next", "first"))
+    return after.select(*docs.columns, F.col("next.doc_id").alias("next_id"), F.col("next.tie").alias("next_tie"))
 
 
 def fingerprint_edits(docs: DataFrame, *, idf_band: tuple[float, float] = IDF_BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,21 +128,28 @@ def fingerprint_edits(docs: DataFrame, *, idf_band: tuple[float, float] = IDF_BA
     The edited text is the text with its last quarter (floor of code points
     / 4) replaced by as many code points from the start of the next document
     by ascending id; after the last comes the first.  A null text counts as
-    empty.  Null ids come before all others and rows with one id follow each
-    other by text.  An empty table gives an empty one; other columns are not read.
+    empty.  Null ids come before all others, rows with one id follow each other
+    by a hash of their text, and those with one text as well are one document.
+    An empty table gives an empty one; other columns are not read.
     """
+    scratch = Scratch(docs.sparkSession, "imatch")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    terms = lexicon(docs, idf_band, "text")
-    rows = in_buckets(with_fingerprint(docs, F.col("text"), terms, "own"), "doc_id")
-    order = Window.partitionBy("bucket").orderBy("wrap", "ord", "text")
-    rows = rows.withColumn("next", F.lead(F.struct("text", "own")).over(order)).where(~F.col("guest"))
+    terms = lexicon(docs, scratch, idf_band, "text")
+    tie = F.xxhash64("text")
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    # Whole texts with their fingerprints are dealt out by id and tie once; both joins read that.
+    rows = with_fingerprint(docs.withColumn("tie", tie), F.col("text"), terms, "own")
+    after = followers(docs.select("doc_id", tie.alias("tie"), quarter.alias("quarter")), scratch)
+    after = scratch.keep(after.withColumnsRenamed({"doc_id": "of", "tie": "of_tie"}), "after")
+    heads = rows.join(after, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("tie") == F.col("next_tie")))
+    heads = heads.select("of", "of_tie", "quarter", F.substr("text", F.lit(1), F.col("quarter")).alias("head"), F.col("own").alias("next")).dropDuplicates(["of", "of_tie"])
+    both = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")))
     n = F.length("text")
-    k = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), n - k), F.substr(F.col("next.text"), F.lit(1), k))
-    rows = with_fingerprint(rows.withColumn("edited", edited), F.col("edited"), terms, "changed")
-    return rows.select(
+    edited = F.concat(F.substr("text", F.lit(1), n - F.col("quarter")), F.col("head"))
+    both = with_fingerprint(both.withColumn("edited", edited), F.col("edited"), terms, "changed")
+    return both.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("own.text").alias("fingerprint"), F.col("changed.text").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next.own")).alias("near_next"), F.col("own.whole").alias("whole"), F.col("changed.whole").alias("edited_whole"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), F.col("own.whole").alias("whole"), F.col("changed.whole").alias("edited_whole"),
     )
 
 

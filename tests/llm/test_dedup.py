@@ -223,37 +223,36 @@ def signed(x):
 
 
 def fingerprint(text, lexicon):
-    kept = sorted(signed(t) for t in (terms(text) & lexicon or terms(text)))
-    level = sum(4**i <= len(kept) for i in range(1, imatch.LEVELS + 1))
-    parts = []
-    for at in (level, level + 1):
-        cells = 4**at
-        seeded = {h: signed(xxhash.xxh32 and number(at.to_bytes(4, "little", signed=True), number(h.to_bytes(8, "little", signed=True)))) for h in kept}
+    kept = sorted(signed(t) for t in terms(text) & lexicon)
+    parts, whole = [], 42
+    for level in range(imatch.LEVELS):
+        cells = imatch.SUBSETS * 4**level
+        if not any(h % cells < imatch.SUBSETS for h in kept):
+            break
         for s in range(imatch.SUBSETS):
-            if at >= 2:
-                held = [(h & -16) | seeded[h] % cells for h in kept if seeded[h] % cells == s]
-            else:
-                held = [h for h in kept if (seeded[h] >> (2 * s)) % cells == 0]
+            held = [h for h in kept if h % cells == s]
             x = 42
             for h in held:
                 x = number(h.to_bytes(8, "little", signed=True), x)
             parts.append(f"{x >> 48:04x}" if held else "----")
-    return f"{level}:{''.join(parts)}", level, parts
+    for h in kept:
+        whole = number(h.to_bytes(8, "little", signed=True), whole)
+    return "".join(parts), parts, signed(whole) if kept else None
 
 
 def similar(a, b):
     if a[0] == b[0]:
         return 1.0
-    if abs(a[1] - b[1]) > 1:
-        return 0.0
-    pairs = list(zip(*(f[2] if a[1] == b[1] else f[2][16:] if f[1] < max(a[1], b[1]) else f[2][:16] for f in (a, b)), strict=True))
-    either = [p == q for p, q in pairs if p != "----" or q != "----"]
-    return sum(either) / max(1, len(either))
+    for level in reversed(range(imatch.LEVELS)):
+        p, q = ((f[1] + ["----"] * 999)[16 * level : 16 * level + 16] for f in (a, b))
+        either = [x == y for x, y in zip(p, q) if (x, y) != ("----", "----")]
+        if len(either) >= 8 or level == 0:
+            return sum(either) / max(1, len(either))
 
 
 @pytest.mark.parametrize("size", [0, 1, 2, 70])
 def test_fingerprints(spark, size, monkeypatch):
-    monkeypatch.setattr(imatch, "BUCKET_ROWS", 9)
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 9)
     rng = random.Random(size)
     rows = [(3 * i - 20, prose(rng, rng.randrange(0, 120))) for i in range(size)]
     if size > 9:
@@ -275,20 +274,35 @@ def test_fingerprints(spark, size, monkeypatch):
         r = got[i]
         own, changed, follows = (fingerprint(x, lexicon) for x in (t, edited, after))
         assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (own[0], changed[0])
+        assert (r["fingerprint"], r["edited_fingerprint"], r["whole"], r["edited_whole"]) == (own[0], changed[0], own[2], changed[2])
         assert r["near_edited"] == pytest.approx(similar(own, changed)) and r["near_next"] == pytest.approx(similar(own, follows))
 
 
-def test_long_texts_that_differ_outside_the_subsets(spark):
+def test_long_texts_that_differ_outside_the_sparse_subsets(spark):
     w = [f"w{i}" for i in range(2000)]
     texts = [" ".join(w), " ".join(reversed(w)), *(" ".join([*w[:i], "other", *w[i + 1 :]]) for i in range(0, 2000, 100)), ""]
-    df = imatch.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), F.col("text"), [], "own")
-    first, again, *rest, empty = [r["own"] for r in df.orderBy("i").collect()]
-    assert first == again and empty["whole"] is None
-    assert sum(r["text"] == first["text"] for r in rest) > 10
-    assert len({first["whole"], *(r["whole"] for r in rest)}) == 21
-    out = imatch.fingerprint_edits(frame(spark, list(enumerate(texts))))
-    assert len({r["whole"] for r in out.collect()}) == 22
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = imatch.fingerprint_edits(df, idf_band=(0.0, 1.0)).orderBy("doc_id").collect()
+    first, again, *rest, empty = out
+    assert (first["fingerprint"], first["whole"]) == (again["fingerprint"], again["whole"]) and empty["whole"] is None and empty["fingerprint"] == ""
+    assert len({r["whole"] for r in out}) == 22 and all(r["near_next"] > 0.8 for r in out[:-2])
+
+
+def test_followers_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 4)
+    rows = [(None, f"t{i} x") for i in range(12)] + [(5, "same text here"), (5, "same text here"), (5, "another text"), (9, None)]
+    got = imatch.fingerprint_edits(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    same = [tuple(r) for r in got if r["doc_id"] == 5 and r["n_chars"] == 14]
+    assert len(same) == 2 and same[0] == same[1]
+    chain = {(r["doc_id"], r["tie"]): (r["next_id"], r["next_tie"]) for r in imatch.followers(frame(spark, rows).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")), Scratch(spark, "t")).collect()}
+    at, seen = next(iter(chain)), []
+    while at not in seen:
+        seen.append(at)
+        at = chain[at]
+    assert len(seen) == len(chain) == 15
+    order = sorted(chain, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    assert [chain[k] for k in order] == order[1:] + order[:1]
 
 
 def test_fingerprints_tell_edits_from_strangers(spark):
