@@ -91,17 +91,20 @@ def with_fingerprint(df: DataFrame, text: Column, lexicon: tuple[DataFrame, int]
     return df.withColumn(name, F.struct(F.col("_p").alias("parts"), F.array_join(shown, "").alias("text"), whole.alias("whole"))).drop("_t", "_p", *[f"_k{i}" for i in range(LEVELS)])
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; 1 for equal fingerprints, those of texts without lexicon terms among them."""
-    value = F.lit(0.0)
+def with_likeness(df: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
+    """Adds a number from 0 to 1; 1 for equal fingerprints, those of texts without lexicon terms among them."""
+    long = F.greatest(F.size(a["parts"]), F.size(b["parts"]))
     for level in range(LEVELS):
         x, y = (F.slice(f["parts"], level * SUBSETS + 1, SUBSETS) for f in (a, b))
         # One number a level: subsets that either has, and 100 for each in which both are the same.
         seen = F.zip_with(x, y, lambda p, q: F.when(p.isNotNull() | q.isNotNull(), F.when(p == q, 101).otherwise(1)).otherwise(0))
-        n = F.aggregate(seen, F.lit(0), lambda total, one: total + one)
+        df = df.withColumn(f"_n{level}", F.when(long > level * SUBSETS, F.aggregate(seen, F.lit(0), lambda total, one: total + one)).otherwise(0))
+    value = F.lit(0.0)
+    for level in range(LEVELS):
+        n = F.col(f"_n{level}")
         share = F.floor(n / 100) / F.greatest(n % 100, F.lit(1))
-        value = share if level == 0 else F.when((F.greatest(F.size(a["parts"]), F.size(b["parts"])) > level * SUBSETS) & (n % 100 >= SUBSETS // 2), share).otherwise(value)
-    return F.when(a["text"] == b["text"], 1.0).otherwise(value)
+        value = share if level == 0 else F.when(n % 100 >= SUBSETS // 2, share).otherwise(value)
+    return df.withColumn(name, F.when(a["text"] == b["text"], 1.0).otherwise(value)).drop(*[f"_n{i}" for i in range(LEVELS)])
 
 
 def followers(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -137,19 +140,21 @@ def fingerprint_edits(docs: DataFrame, *, idf_band: tuple[float, float] = IDF_BA
     terms = lexicon(docs, scratch, idf_band, "text")
     tie = F.xxhash64("text")
     quarter = F.floor(F.length("text") / 4).cast("int")
-    # Whole texts with their fingerprints are dealt out by id and tie once; both joins read that.
-    rows = with_fingerprint(docs.withColumn("tie", tie), F.col("text"), terms, "own")
+    # Whole texts with their fingerprints are dealt out once, by hashes of id and text; both joins read that.
+    rows = with_fingerprint(docs.withColumn("tie", tie), F.col("text"), terms, "own").withColumn("at", F.xxhash64("doc_id")).repartition("at", "tie")
     after = followers(docs.select("doc_id", tie.alias("tie"), quarter.alias("quarter")), scratch)
-    after = scratch.keep(after.withColumnsRenamed({"doc_id": "of", "tie": "of_tie"}), "after")
-    heads = rows.join(after, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("tie") == F.col("next_tie")))
+    after = after.select(F.xxhash64("doc_id").alias("of"), F.col("tie").alias("of_tie"), "quarter", F.xxhash64("next_id").alias("next_at"), "next_tie")
+    heads = rows.join(scratch.keep(after, "after"), (F.col("at") == F.col("next_at")) & (F.col("tie") == F.col("next_tie")))
     heads = heads.select("of", "of_tie", "quarter", F.substr("text", F.lit(1), F.col("quarter")).alias("head"), F.col("own").alias("next")).dropDuplicates(["of", "of_tie"])
-    both = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")))
+    both = rows.join(heads, (F.col("at") == F.col("of")) & (F.col("tie") == F.col("of_tie")))
     n = F.length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - F.col("quarter")), F.col("head"))
     both = with_fingerprint(both.withColumn("edited", edited), F.col("edited"), terms, "changed")
+    both = with_likeness(both, F.col("own"), F.col("changed"), "near_edited")
+    both = with_likeness(both, F.col("own"), F.col("next"), "near_next")
     return both.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("own.text").alias("fingerprint"), F.col("changed.text").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), F.col("own.whole").alias("whole"), F.col("changed.whole").alias("edited_whole"),
+        "near_edited", "near_next", F.col("own.whole").alias("whole"), F.col("changed.whole").alias("edited_whole"),
     )
 
 
