@@ -140,22 +140,24 @@ def fingerprint_edits(docs: DataFrame, *, idf_band: tuple[float, float] = IDF_BA
     terms = lexicon(docs, scratch, idf_band, "text")
     tie = F.xxhash64("text")
     quarter = F.floor(F.length("text") / 4).cast("int")
-    # Whole texts with their fingerprints are dealt out once, by hashes of id and text; both joins read that.
-    rows = with_fingerprint(docs.withColumn("tie", tie), F.col("text"), terms, "own").withColumn("at", F.xxhash64("doc_id")).repartition("at", "tie")
+    # Whole texts are dealt out once, by hashes of id and text; both joins read that.
+    rows = docs.withColumn("tie", tie).withColumn("at", F.xxhash64("doc_id")).repartition("at", "tie")
     after = followers(docs.select("doc_id", tie.alias("tie"), quarter.alias("quarter")), scratch)
     after = after.select(F.xxhash64("doc_id").alias("of"), F.col("tie").alias("of_tie"), "quarter", F.xxhash64("next_id").alias("next_at"), "next_tie")
     heads = rows.join(scratch.keep(after, "after"), (F.col("at") == F.col("next_at")) & (F.col("tie") == F.col("next_tie")))
-    heads = heads.select("of", "of_tie", "quarter", F.substr("text", F.lit(1), F.col("quarter")).alias("head"), F.col("own").alias("next")).dropDuplicates(["of", "of_tie"])
+    heads = heads.select("of", "of_tie", "quarter", "next_at", "next_tie", F.substr("text", F.lit(1), F.col("quarter")).alias("head")).dropDuplicates(["of", "of_tie"])
     both = rows.join(heads, (F.col("at") == F.col("of")) & (F.col("tie") == F.col("of_tie")))
     n = F.length("text")
-    edited = F.concat(F.substr("text", F.lit(1), n - F.col("quarter")), F.col("head"))
-    both = with_fingerprint(both.withColumn("edited", edited), F.col("edited"), terms, "changed")
+    both = both.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - F.col("quarter")), F.col("head")))
+    both = both.withColumn("n_chars", n.cast("long")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    both = with_fingerprint(with_fingerprint(both, F.col("text"), terms, "own"), F.col("edited"), terms, "changed")
     both = with_likeness(both, F.col("own"), F.col("changed"), "near_edited")
-    both = with_likeness(both, F.col("own"), F.col("next"), "near_next")
-    return both.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("own.text").alias("fingerprint"), F.col("changed.text").alias("edited_fingerprint"),
-        "near_edited", "near_next", F.col("own.whole").alias("whole"), F.col("changed.whole").alias("edited_whole"),
-    )
+    both = both.select("doc_id", "at", "tie", "next_at", "next_tie", "n_chars", "edited_sha256", "own", F.col("changed.text").alias("edited_fingerprint"), F.col("changed.whole").alias("edited_whole"), "near_edited")
+    # Fingerprints of neighbours meet without their texts.
+    both = scratch.keep(both, "fingerprints")
+    following = both.select(F.col("at").alias("f_at"), F.col("tie").alias("f_tie"), F.col("own").alias("next")).dropDuplicates(["f_at", "f_tie"])
+    both = with_likeness(both.join(following, (F.col("next_at") == F.col("f_at")) & (F.col("next_tie") == F.col("f_tie"))), F.col("own"), F.col("next"), "near_next")
+    return both.select("doc_id", "n_chars", "edited_sha256", F.col("own.text").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", F.col("own.whole").alias("whole"), "edited_whole")
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
