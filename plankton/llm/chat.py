@@ -161,13 +161,17 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of what format_conversations() put out, from its output alone."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of what format_conversations() put out, from its output alone.
+
+    The parts of a conversation may lie anywhere: they are dealt by conv_id and
+    read in order, as a stream.
+    """
 
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, out = None, []
+        state, out = None, []  # [conv_id, turns, their digest, loss characters, their digest, characters]
 
         def close() -> None:
             conv, n, turns, chars, loss, size = state
@@ -183,7 +187,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             bounds = spans.offsets.to_numpy()
             lo, hi = (spans.values.field(x).to_pylist() for x in ("lo", "hi"))
             for k, (conv, part, text) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("conv_id", "part", "formatted")), strict=True)):
-                if part == 0:
+                if state is None or conv != state[0]:
                     if state:
                         close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -200,7 +204,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
             close()
             yield taken()
 
-    return formatted.select("conv_id", "part", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    parts = formatted.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return parts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

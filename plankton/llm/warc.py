@@ -36,8 +36,10 @@ from .common import Scratch, documents, small_batches
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
-#: Records of one file: keeps an archive small enough to be read by one task.
-FILE_RECORDS = 5000
+#: Records, and bytes of payload, that one file holds at most: keeps an archive small enough to be read by one task.
+FILE_RECORDS, FILE_BYTES = 5000, 128 << 20
+#: Payloads of so many bytes or fewer are of one size class; each further class holds up to four times as many.
+SMALL = FILE_BYTES // FILE_RECORDS
 #: Compressed bytes that are inflated at a time.
 PIECE = 1 << 14
 GZIP = b"\x1f\x8b\x08"
@@ -68,13 +70,16 @@ def with_originals(pages: DataFrame, id_col: str, payload: Column, min_bytes: in
     """Adds payload, digest and original: the smallest id with the same payload, null where that is the row itself or the payload is short.
 
     Ids are gathered by digest as one minimum each, and only digests that occur
-    twice meet the rows again.
+    twice meet the rows again.  Short payloads meet nothing: each has a key of
+    its own, so they are dealt out evenly.
     """
     rows = pages.withColumn("payload", payload).withColumn("digest", F.sha2("payload", 256))
     long = rows.where(F.octet_length("payload") >= min_bytes)
     first = long.groupBy("digest").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
-    rows = rows.join(first, (F.col("digest") == F.col("of")) & (F.octet_length("payload") >= min_bytes), "left")
-    return rows.withColumn("original", F.when(F.col("first") != F.col(id_col), F.col("first"))).drop("of", "first")
+    alone = F.concat(F.lit("-"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    rows = rows.withColumn("meets", F.when(F.octet_length("payload") >= min_bytes, F.col("digest")).otherwise(alone))
+    rows = rows.join(first, F.col("meets") == F.col("of"), "left")
+    return rows.withColumn("original", F.when(F.col("first") != F.col(id_col), F.col("first"))).drop("of", "first", "meets")
 
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = REVISIT_BYTES) -> None:
@@ -84,7 +89,9 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     payloads of at least min_bytes bytes that with the smallest id is a
     response and the others refer to it; rows that share even that id are
     responses.  A null id or url is left out of the header.  An empty table
-    writes archives without records.
+    writes archives without records.  Pages are written by size class, so that
+    a file's number of records bounds its bytes: FILE_BYTES of payload, or one
+    record.  Ids are whole numbers.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -94,8 +101,17 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     def member(rec: pd.Series, uri: pd.Series, payload: pd.Series, digest: pd.Series, refers: pd.Series) -> pd.Series:
         return pd.Series([gzip.compress(record(a or "", b, c, d, e), 6, mtime=0) for a, b, c, d, e in zip(rec, uri, payload, digest, refers, strict=True)])
 
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    of = F.when(size <= SMALL, 0).otherwise(F.ceil(F.log(size / SMALL) / F.log(F.lit(4.0)))).cast("int")
+    classes = sorted(r[0] for r in pages.select(F.col(html_col).alias("html")).select(of.alias("c")).distinct().collect()) or [0]  # a few, as a text has less than 2 GiB
+    for c in classes:
+        records = max(1, min(FILE_RECORDS, FILE_BYTES // (SMALL * 4**c)))
+        _write_members(rows.where(of == c), member, path, records)
+
+
+def _write_members(rows: DataFrame, member, path: str, records: int) -> None:
     made = rows.select(member(F.col("id").cast("string"), "url", "payload", "digest", F.col("original").cast("string")).cast("string").alias("value"))
-    made.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records).mode("append").text(path)
 
 
 def parse(data: bytes, start: int = 0) -> tuple[dict, bytes, int]:
@@ -290,10 +306,21 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
     return files.mapInPandas(run, ENTRY)
 
 
+class Lost(RuntimeError):
+    """Fewer records came back than were written."""
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Scratch(spark, "warc").path("archives")
-    write_archives(documents(spark, sf_dir, "pages"), path)
-    found = read_archives(spark, path, payloads=False).where("problem IS NULL")
+    """Records read back from archives of all pages.  What was read is stored with its gap log; a record that is missing is an error."""
+    scratch = Scratch(spark, "warc")
+    pages = documents(spark, sf_dir, "pages")
+    write_archives(pages, path := scratch.path("archives"))
+    found = scratch.keep(read_archives(spark, path, payloads=False).drop("payload"), "entries")
+    n, gaps = found.agg(F.count(F.when(F.col("problem").isNull(), 1)), F.count("problem")).first()
+    if gaps or n != pages.count():
+        where = [tuple(r) for r in found.where("problem IS NOT NULL").select("archive", "start", "stop", "problem").limit(20).collect()]
+        raise Lost(f"{pages.count()} records were written and {n} read; {gaps} gaps, the first are {where}; all are in {found.scratch_path}")
+    found = found.where("problem IS NULL")
     return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

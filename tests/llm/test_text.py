@@ -142,6 +142,38 @@ def test_round_trip(spark, tmp_path):
     assert got[9]["target"] == "http://b%0D%0AX:%20y" and got[3]["target"] is None
 
 
+def test_archives_have_bounded_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "SMALL", 1000)
+    rng = random.Random(2)
+    noise = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    pages = spark.createDataFrame([(i, "u", noise(rng.choice([10, 900, 5000, 30_000]))) for i in range(120)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/w")
+    files = [f.stat().st_size for f in tmp_path.glob("w/part-*")]
+    assert len(files) > 10 and max(files) < 50_000
+    assert {int(r["record_id"]) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()} == set(range(120))
+
+
+def test_the_query_reports_lost_pages(spark, tmp_path, monkeypatch):
+    """A damaged archive on the query's own path is an error that says where the gap is."""
+    read = warc.read_archives
+
+    def damaged(spark, path, **more):
+        import glob
+
+        name = sorted(glob.glob(f"{path.removeprefix('file://')}/part-*"), key=os.path.getsize)[-1]
+        data = bytearray(open(name, "rb").read())
+        data[len(data) // 2] ^= 0xFF
+        open(name, "wb").write(bytes(data))
+        for crc in glob.glob(f"{path.removeprefix('file://')}/.*.crc"):
+            os.remove(crc)
+        return read(spark, path, **more)
+
+    monkeypatch.setattr(warc, "read_archives", damaged)
+    with pytest.raises(warc.Lost, match="50 records were written and 49 read; 1 gaps"):
+        warc.op4_warc(spark, SF).collect()
+
+
 def test_damaged_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"<p>{i}" * 50) for i in range(40)], "page_id long, url string, html string")
     warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/w")
@@ -300,13 +332,17 @@ def conversation(rows):
 
 
 @pytest.mark.parametrize("limit", [1 << 16, 5])
-def test_conversations(spark, monkeypatch, limit):
+def test_conversations(spark, monkeypatch, tmp_path, limit):
     monkeypatch.setattr(chat, "PART_CHARS", limit)
     rows = [(1, 0, "user", "hi <turn x>"), (1, 1, "assistant", "é😀 日本語 </turn>\n \\ end "), (1, 2, "assistant", ""), (2, 1, "assistant", "b"), (2, 0, "assistant", " a\n\n"), (2, None, None, None), (None, 0, "assistant", "n"), (None, 0, "user", "m"), (5, 0, "user", "<|endoftext|>"), (5, 1, "assistant", "<|endoftext|>"), (6, 0, "assistant", "x y " * 3000), (6, 0, "assistant", "x y " * 3000)]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, part int, loss string")
     made = chat.format_conversations(df)
     got = {r["conv_id"]: tuple(r)[1:] for r in chat.read_back(made).collect()}
     assert {c: g[:4] for c, g in got.items()} == conversation(rows)
+    # The same from a stored output whose parts lie in another order.
+    made.orderBy(F.rand(3)).write.parquet(f"{tmp_path}/made")
+    stored = spark.read.parquet(f"{tmp_path}/made").repartition(3)
+    assert {r["conv_id"]: tuple(r)[1:] for r in chat.read_back(stored).collect()} == got
     for r in made.collect():
         assert len(r["ids"]) == len(r["mask"]) == len(r["starts"])
         inside = [any(x["lo"] < e and s < x["hi"] for x in r["loss"]) for s, e in zip(r["starts"], r["ends"])]
