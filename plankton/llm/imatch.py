@@ -145,14 +145,15 @@ def fingerprint_edits(docs: DataFrame, *, idf_band: tuple[float, float] = IDF_BA
     after = followers(docs.select("doc_id", tie.alias("tie"), quarter.alias("quarter")), scratch)
     after = after.select(F.xxhash64("doc_id").alias("of"), F.col("tie").alias("of_tie"), "quarter", F.xxhash64("next_id").alias("next_at"), "next_tie")
     heads = rows.join(scratch.keep(after, "after"), (F.col("at") == F.col("next_at")) & (F.col("tie") == F.col("next_tie")))
-    heads = heads.select("of", "of_tie", "quarter", "next_at", "next_tie", F.substr("text", F.lit(1), F.col("quarter")).alias("head")).dropDuplicates(["of", "of_tie"])
+    # next_id is kept so that both sides read the same columns, and so the same exchange.
+    heads = heads.select("of", "of_tie", F.col("doc_id").alias("next_id"), "quarter", "next_at", "next_tie", F.substr("text", F.lit(1), F.col("quarter")).alias("head")).dropDuplicates(["of", "of_tie"])
     both = rows.join(heads, (F.col("at") == F.col("of")) & (F.col("tie") == F.col("of_tie")))
     n = F.length("text")
     both = both.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - F.col("quarter")), F.col("head")))
     both = both.withColumn("n_chars", n.cast("long")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     both = with_fingerprint(with_fingerprint(both, F.col("text"), terms, "own"), F.col("edited"), terms, "changed")
     both = with_likeness(both, F.col("own"), F.col("changed"), "near_edited")
-    both = both.select("doc_id", "at", "tie", "next_at", "next_tie", "n_chars", "edited_sha256", "own", F.col("changed.text").alias("edited_fingerprint"), F.col("changed.whole").alias("edited_whole"), "near_edited")
+    both = both.select("doc_id", "next_id", "at", "tie", "next_at", "next_tie", "n_chars", "edited_sha256", "own", F.col("changed.text").alias("edited_fingerprint"), F.col("changed.whole").alias("edited_whole"), "near_edited")
     # Fingerprints of neighbours meet without their texts.
     both = scratch.keep(both, "fingerprints")
     following = both.select(F.col("at").alias("f_at"), F.col("tie").alias("f_tie"), F.col("own").alias("next")).dropDuplicates(["f_at", "f_tie"])
