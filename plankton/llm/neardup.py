@@ -39,7 +39,7 @@ BANDS, ROWS = 24, 4
 #: How far below the threshold a signature's estimate may lie.
 MARGIN = 0.22
 #: Members of a bucket's block, about; two blocks meet in one comparison.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
