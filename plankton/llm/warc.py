@@ -4,9 +4,9 @@ An archive is a sequence of gzip members, each one record; the reader takes
 plain archives too.  Both sides go through Spark's own file sources, so
 archives lie wherever Spark can write.
 
-Writing: every record is made and compressed in its task and put out by the
-text sink, whose line separator is set to an empty gzip member; the file is
-then nothing but gzip members.
+Writing: every record is made and compressed in its task, and runs of them are
+put out by the text sink, whose line separator is set to an empty gzip member;
+the file is then nothing but gzip members.
 
 Salvaging: a member that does not decompress, fails its checksum or is cut
 off, a header that cannot be read, a length that runs past the end and a digest
@@ -36,10 +36,10 @@ from .common import Scratch, documents, small_batches
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
-#: Records, and bytes of payload, that one file holds at most: keeps an archive small enough to be read by one task.
-FILE_RECORDS, FILE_BYTES = 5000, 128 << 20
-#: Payloads of so many bytes or fewer are of one size class; each further class holds up to four times as many.
-SMALL = FILE_BYTES // FILE_RECORDS
+#: Bytes of records, before compression, that one file holds at most, if it holds more than one: keeps an archive small enough to be read by one task.
+FILE_BYTES = 128 << 20
+#: Bytes of records that are put out as one piece.  Payloads of so many bytes or fewer are of one size class; each further class holds up to four times as many.
+SMALL = 1 << 20
 #: Compressed bytes that are inflated at a time.
 PIECE = 1 << 14
 GZIP = b"\x1f\x8b\x08"
@@ -66,20 +66,16 @@ def record(rec_id: str, uri: str | None, payload: bytes, digest: str, refers: st
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def with_originals(pages: DataFrame, id_col: str, payload: Column, min_bytes: int) -> DataFrame:
-    """Adds payload, digest and original: the smallest id with the same payload, null where that is the row itself or the payload is short.
+def with_originals(rows: DataFrame, first: DataFrame, min_bytes: int) -> DataFrame:
+    """Adds original: the smallest id with the same payload, null where that is the row itself or the payload is short.
 
-    Ids are gathered by digest as one minimum each, and only digests that occur
-    twice meet the rows again.  Short payloads meet nothing: each has a key of
-    its own, so they are dealt out evenly.
+    first holds the smallest id of each digest that occurs twice.  Short
+    payloads meet nothing: each has a key of its own, so they are dealt out evenly.
     """
-    rows = pages.withColumn("payload", payload).withColumn("digest", F.sha2("payload", 256))
-    long = rows.where(F.octet_length("payload") >= min_bytes)
-    first = long.groupBy("digest").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first")
-    alone = F.concat(F.lit("-"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    alone = F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))
     rows = rows.withColumn("meets", F.when(F.octet_length("payload") >= min_bytes, F.col("digest")).otherwise(alone))
     rows = rows.join(first, F.col("meets") == F.col("of"), "left")
-    return rows.withColumn("original", F.when(F.col("first") != F.col(id_col), F.col("first"))).drop("of", "first", "meets")
+    return rows.withColumn("original", F.when(F.col("first") != F.col("id"), F.col("first"))).drop("of", "first", "meets")
 
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = REVISIT_BYTES) -> None:
@@ -89,29 +85,37 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     payloads of at least min_bytes bytes that with the smallest id is a
     response and the others refer to it; rows that share even that id are
     responses.  A null id or url is left out of the header.  An empty table
-    writes archives without records.  Pages are written by size class, so that
-    a file's number of records bounds its bytes: FILE_BYTES of payload, or one
-    record.  Ids are whole numbers.
+    writes archives without records.  Records are put out in pieces of about
+    SMALL, so that a file's number of pieces bounds its bytes; payloads
+    above that are written apart, by size class.  Ids are whole numbers.
     """
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = with_originals(rows, "id", F.coalesce("html", F.lit("")).cast("binary"), min_bytes)
-
-    @F.pandas_udf("binary")
-    def member(rec: pd.Series, uri: pd.Series, payload: pd.Series, digest: pd.Series, refers: pd.Series) -> pd.Series:
-        return pd.Series([gzip.compress(record(a or "", b, c, d, e), 6, mtime=0) for a, b, c, d, e in zip(rec, uri, payload, digest, refers, strict=True)])
-
-    size = F.octet_length(F.coalesce("html", F.lit("")))
-    of = F.when(size <= SMALL, 0).otherwise(F.ceil(F.log(size / SMALL) / F.log(F.lit(4.0)))).cast("int")
-    classes = sorted(r[0] for r in pages.select(F.col(html_col).alias("html")).select(of.alias("c")).distinct().collect()) or [0]  # a few, as a text has less than 2 GiB
-    for c in classes:
-        records = max(1, min(FILE_RECORDS, FILE_BYTES // (SMALL * 4**c)))
-        _write_members(rows.where(of == c), member, path, records)
-
-
-def _write_members(rows: DataFrame, member, path: str, records: int) -> None:
-    made = rows.select(member(F.col("id").cast("string"), "url", "payload", "digest", F.col("original").cast("string")).cast("string").alias("value"))
-    made.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records).mode("append").text(path)
+    scratch = Scratch(pages.sparkSession, "warc-digests")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
+    size = F.octet_length("payload")
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size_class", F.when(size <= SMALL, 0).otherwise(F.ceil(F.log(size / SMALL) / F.log(F.lit(4.0)))).cast("int"))
+    large = [r[0] for r in rows.where(size > SMALL).select("size_class").distinct().collect()]  # a few, as a text has less than 2 GiB
+    first = rows.where(size >= min_bytes).groupBy(F.col("digest").alias("of")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = with_originals(rows, scratch.keep(first, "digests"), min_bytes)
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            for rec, uri, payload, digest, refers in zip(*(batch[c] for c in ("rec", "url", "payload", "digest", "refers")), strict=True):
+                made = record(rec or "", uri, payload, digest, refers)
+                held.append(gzip.compress(made, 6, mtime=0))
+                size += len(made)
+                if size >= SMALL:
+                    yield pd.DataFrame({"value": [b"".join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"value": [b"".join(held)]})
+
+    columns = [F.col("id").cast("string").alias("rec"), F.col("url"), F.col("payload"), F.col("digest"), F.col("original").cast("string").alias("refers")]
+    for c in [0, *sorted(large)]:
+        most = max(1, FILE_BYTES // (2 * SMALL * 4**c))
+        made = rows.where(F.col("size_class") == c).select(*columns).mapInPandas(pieces, "value binary").select(F.col("value").cast("string"))
+        made.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", most).mode("append").text(path)
 
 
 def parse(data: bytes, start: int = 0) -> tuple[dict, bytes, int]:
