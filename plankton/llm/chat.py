@@ -15,6 +15,7 @@ hold it once.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -118,6 +119,12 @@ class Encoder:
         return ids, (begun[stop - self.sizes[ids] + 1] - 1).astype(np.int32), begun[stop].astype(np.int32)
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a rank file, loaded once in each Python worker."""
+    return Encoder(path)
+
+
 def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistant",), tokenizer: str = TOKENIZER, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Each conversation in one or, if very long, several parts; columns as in PARTS, parts of a conversation in order within their partition.
 
@@ -132,7 +139,7 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
     learned = frozenset(learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         held: list[tuple] = []
         conv, part, turns, size = None, 0, [], 0
 
