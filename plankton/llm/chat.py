@@ -33,7 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A conversation of more code points is rendered and encoded in parts, cut between turns.
 PART_CHARS = 1 << 16
 TURN = re.compile(r"<turn ((?:[^\\>]|\\.)*)>\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
-PARTS = "conv_id long, part int, n_turns int, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>, loss array<struct<lo: int, hi: int>>"
+PARTS = "conv_id long, part int, last boolean, n_turns int, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>, loss array<struct<lo: int, hi: int>>"
 
 
 def escape(text: str, chars: str = r"\<") -> str:
@@ -85,8 +85,8 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of conv_id, part, n_turns, formatted and five arrays, in the columns of PARTS."""
-    conv, part, n, text, *arrays = zip(*rows, strict=True)
+    """Rows of conv_id, part, last, n_turns, formatted and five arrays, in the columns of PARTS."""
+    conv, part, last, n, text, *arrays = zip(*rows, strict=True)
 
     def lists(x: tuple[np.ndarray, ...]) -> pa.Array:
         bounds = pa.array(np.cumsum([0, *map(len, x)]), pa.int32())
@@ -94,8 +94,8 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         inner = pa.array(values) if values.ndim == 1 else pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, 0])), pa.array(np.ascontiguousarray(values[:, 1]))], ["lo", "hi"])
         return pa.ListArray.from_arrays(bounds, inner)
 
-    made = [pa.array(conv, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.string()), *map(lists, arrays)]
-    return pa.RecordBatch.from_arrays(made, ["conv_id", "part", "n_turns", "formatted", "ids", "starts", "ends", "mask", "loss"])
+    made = [pa.array(conv, pa.int64()), pa.array(part, pa.int32()), pa.array(last, pa.bool_()), pa.array(n, pa.int32()), pa.array(text, pa.string()), *map(lists, arrays)]
+    return pa.RecordBatch.from_arrays(made, ["conv_id", "part", "last", "n_turns", "formatted", "ids", "starts", "ends", "mask", "loss"])
 
 
 class Encoder:
@@ -132,7 +132,7 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
     text.  A null role or text is empty; rows with a null conv_id are one
     conversation.  A partition is read as a sorted stream and a part is put out
     when it is full, so no conversation is held whole.  An empty table gives an
-    empty one; other columns are not read.
+    empty one; other columns are not read.  `last` marks a conversation's last part.
     """
     rows = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     small_batches(rows.sparkSession)
@@ -143,16 +143,16 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
         held: list[tuple] = []
         conv, part, turns, size = None, 0, [], 0
 
-        def close() -> None:
+        def close(last: bool) -> None:
             text, spans = render(turns, learned)
             ids, starts, ends = encoder.encode(text)
             mask, loss = intersect(spans, starts, ends)
-            held.append((conv, part, len(turns), text, ids, starts, ends, mask, np.array(loss, np.int32).reshape(-1, 2)))
+            held.append((conv, part, last, len(turns), text, ids, starts, ends, mask, np.array(loss, np.int32).reshape(-1, 2)))
 
         for batch in batches:
             for c, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
                 if turns and (c != conv or size > PART_CHARS):
-                    close()
+                    close(c != conv)
                     part, turns, size = part + 1 if c == conv else 0, [], 0
                 conv = c
                 turns.append((role, text))
@@ -161,7 +161,7 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
                 yield as_batch(held)
                 held = []
         if turns:
-            close()
+            close(True)
             yield as_batch(held)
 
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, PARTS)
@@ -170,49 +170,60 @@ def format_conversations(rows: DataFrame, *, learn: tuple[str, ...] = ("assistan
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of what format_conversations() put out, from its output alone.
 
-    The parts of a conversation may lie anywhere: they are dealt by conv_id and
-    read in order, as a stream.
+    Parts may lie anywhere and are parsed where they lie.  A conversation in one
+    part is digested there; parts of longer ones are dealt by conv_id, and only
+    the running digests go over them in order, as a stream.
     """
 
-    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            spans = batch.column("loss")
+            bounds = spans.offsets.to_numpy()
+            lo, hi = (spans.values.field(x).to_pylist() for x in ("lo", "hi"))
+            for k, (conv, part, last, text) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("conv_id", "part", "last", "formatted")), strict=True)):
+                turns = read_turns(text)
+                said = "".join(f"{role}\n{words}\n" for role, words in turns).encode("utf-8", "surrogatepass")
+                masked = unescape("".join(text[lo[x] : hi[x]] for x in range(bounds[k], bounds[k + 1])))
+                learned = masked.encode("utf-8", "surrogatepass")
+                whole = part == 0 and last
+                digests = (hashlib.sha256(said).hexdigest(), hashlib.sha256(learned).hexdigest()) if whole else (None, None)
+                out.append((conv, part, len(turns), digests[0], len(masked), digests[1], len(text), None if whole else said, None if whole else learned))
+            yield pa.RecordBatch.from_pylist([dict(zip(parsed.names, row, strict=True)) for row in out], parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, out = None, []  # [conv_id, turns, their digest, loss characters, their digest, characters]
-
-        def close() -> None:
-            conv, n, turns, chars, loss, size = state
-            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
+        state = None  # [conv_id, turns, their digest, loss characters, their digest, characters]
 
-        def taken() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], columns)
-            out.clear()
-            return found
+        def finished() -> tuple:
+            return tuple(x if x is None or isinstance(x, int) else x.hexdigest() for x in state)
 
         for batch in batches:
-            spans = batch.column("loss")
-            bounds = spans.offsets.to_numpy()
-            lo, hi = (spans.values.field(x).to_pylist() for x in ("lo", "hi"))
-            for k, (conv, part, text) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("conv_id", "part", "formatted")), strict=True)):
-                if state is None or conv != state[0]:
-                    if state:
-                        close()
+            out = []
+            for conv, part, n, turns_digest, chars, loss_digest, size, said, learned in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state and part == 0:
+                    out.append(finished())
+                    state = None
+                if said is None:
+                    out.append((conv, n, turns_digest, chars, loss_digest, size))
+                    continue
+                if state is None:
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in read_turns(text):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                masked = unescape("".join(text[lo[x] : hi[x]] for x in range(bounds[k], bounds[k + 1])))
-                state[3] += len(masked)
-                state[4].update(masked.encode("utf-8", "surrogatepass"))
-                state[5] += len(text)
-            if out:
-                yield taken()
+                state[1] += n
+                state[2].update(said)
+                state[3] += chars
+                state[4].update(learned)
+                state[5] += size
+            yield pa.RecordBatch.from_pylist([dict(zip(read.names, row, strict=True)) for row in out], read)
         if state:
-            close()
-            yield taken()
-
-    parts = formatted.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return parts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            yield pa.RecordBatch.from_pylist([dict(zip(read.names, finished(), strict=True))], read)
+
+    whole = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+    read = pa.schema(whole)
+    parsed = pa.schema([whole[0], ("part", pa.int32()), *whole[1:], ("said", pa.binary()), ("learned", pa.binary())])
+    ddl = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    small_batches(formatted.sparkSession)
+    parts = formatted.select("conv_id", "part", "last", "formatted", "loss").mapInArrow(parse, f"conv_id long, part int, {ddl}, said binary, learned binary")
+    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(run, f"conv_id long, {ddl}")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
