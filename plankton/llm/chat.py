@@ -98,6 +98,11 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, ["conv_id", "part", "last", "n_turns", "formatted", "ids", "starts", "ends", "mask", "loss"])
 
 
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, schema.types, strict=True)], schema=schema)
+
+
 class Encoder:
     """A byte-level tokenizer from a rank file; control strings in a text are ordinary text."""
 
@@ -189,7 +194,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 whole = part == 0 and last
                 digests = (hashlib.sha256(said).hexdigest(), hashlib.sha256(learned).hexdigest()) if whole else (None, None)
                 out.append((conv, part, len(turns), digests[0], len(masked), digests[1], len(text), None if whole else said, None if whole else learned))
-            yield pa.RecordBatch.from_pylist([dict(zip(parsed.names, row, strict=True)) for row in out], parsed)
+            yield batch_of(out, parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None  # [conv_id, turns, their digest, loss characters, their digest, characters]
@@ -213,9 +218,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 state[3] += chars
                 state[4].update(learned)
                 state[5] += size
-            yield pa.RecordBatch.from_pylist([dict(zip(read.names, row, strict=True)) for row in out], read)
+            yield batch_of(out, read)
         if state:
-            yield pa.RecordBatch.from_pylist([dict(zip(read.names, finished(), strict=True))], read)
+            yield batch_of([finished()], read)
 
     whole = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
     read = pa.schema(whole)
